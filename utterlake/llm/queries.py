@@ -7,8 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterlake.llm import bpe, splits
-from utterlake.llm.common import table
+from utterlake.llm import bpe, leakage, lookalike, overlap, splits
+from utterlake.llm.common import delivered_once, table
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "data_synthesize")
+    return overlap.overlaps(s.select(F.col("sample_id").alias("id"), "split", "lang", F.col("previous_transcript").alias("previous"), F.col("continuation_transcript").alias("continuation"), "audio_path", "timestamp"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b")).distinct()
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs and evaluation samples touched, per split and source of the evaluation sample."""
+    return overlap.report(_overlaps(spark, d), delivered_once(table(spark, d, "data_synthesize"), "sample_id", "split", "source"), "sample_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,10 +36,29 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(groups, targets, "sample_id")
 
 
+def _canonical_values(spark: SparkSession, d: str) -> DataFrame:
+    """result_id, field, value, canonical of both fields of evaluation_result."""
+    r = table(spark, d, "evaluation_result").where("result_id is not null")
+    values = r.select("result_id", "lang", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("reference", "generated")])).alias("v")).select("result_id", "lang", "v.field", "v.value")
+    return lookalike.canonicalize(values, "value", "lang")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _canonical_values(spark, d).where("canonical <> value").select("result_id", "field").distinct()
+
+
+def p6_values(spark: SparkSession, d: str) -> DataFrame:
+    return _canonical_values(spark, d).select("result_id", "field", "canonical").distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
