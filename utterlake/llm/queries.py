@@ -7,10 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterlake.llm import bpe, leakage, lookalike, overlap, splits
+from utterlake.llm import bpe, leakage, lookalike, overlap, pii, splits
 from utterlake.llm.common import delivered_once, table
 
 
+def _spoken(spark: SparkSession, d: str) -> DataFrame:
+    """table_name, row_id, field, text of the three fields where people speak."""
+
+    def fields(name: str, key: str, *columns: str) -> DataFrame:
+        t = table(spark, d, name).where(F.col(key).isNotNull())
+        return t.select(F.lit(name).alias("table_name"), F.col(key).alias("row_id"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("text")) for c in columns])).alias("f")).select("table_name", "row_id", "f.field", "f.text")
+
+    return fields("evaluation_result", "result_id", "reference", "generated").unionByName(fields("data_synthesize", "sample_id", "continuation_transcript"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find_spans(_spoken(spark, d)).select("table_name", "row_id", "field", "kind").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    texts = _spoken(spark, d).distinct()
+    return pii.redact(texts, pii.find_spans(texts)).select("table_name", "row_id", "field", "redacted")
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "data_synthesize")
     return overlap.overlaps(s.select(F.col("sample_id").alias("id"), "split", "lang", F.col("previous_transcript").alias("previous"), F.col("continuation_transcript").alias("continuation"), "audio_path", "timestamp"))
