@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterlake.llm import bpe, leakage, lookalike, overlap, pii, splits
+from utterlake.llm import bpe, leakage, lookalike, mixing, overlap, percentiles, pii, splits, subjects
 from utterlake.llm.common import delivered_once, table
 
 
@@ -55,6 +55,46 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(groups, targets, "sample_id")
 
 
+METRICS = ("first_token_latency_ms", "last_token_latency_ms", "cer")
+
+
+def _measures(spark: SparkSession, d: str) -> DataFrame:
+    """part, key, metric, value: every result once, per run, source and day. Negative latencies
+    are markers of a missing one and are left out."""
+    r = delivered_once(table(spark, d, "evaluation_result"), "result_id", "run_id", "source", "evaluated_at", *METRICS)
+    keys = F.array(*[F.struct(F.lit(n).alias("part"), c.alias("key")) for n, c in (("run", F.col("run_id")), ("source", F.col("source")), ("day", F.date_format("evaluated_at", "yyyy-MM-dd")))])
+    metrics = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
+    long = r.select(F.explode(metrics).alias("m"), "run_id", "source", "evaluated_at").where("m.value is not null and not isnan(m.value) and (m.metric = 'cer' or m.value >= 0)")
+    return long.select(F.explode(keys).alias("k"), "m").select("k.part", "k.key", "m.metric", "m.value")
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.grids(_measures(spark, d), ["part", "key", "metric"], "value").withColumnRenamed("step", "percent")
+
+
+def p4_combined(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of each month put together from those of its days."""
+    days = percentiles.grids(_measures(spark, d).where("part = 'day'"), ["key", "metric"], "value")
+    return percentiles.combine(days.withColumn("month", F.substring("key", 1, 7)), ["month", "metric"], [5, 25, 50, 75, 90, 95, 99], ["key"])
+
+
+def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    s = table(spark, d, "data_synthesize").where("split = 'train' and source is not null")
+    tokens = mixing.tokens_of(F.col("previous_transcript")) + mixing.tokens_of(F.col("continuation_transcript"))
+    docs = delivered_once(s.select("sample_id", F.lower("source").alias("source"), tokens.alias("tokens")), "sample_id", "source", "tokens")
+    entries = table(spark, d, "training_qwen2audio").select("config_id", "entry_no", F.col("train_data_paths").alias("path"), "weight", "max_repeat")
+    return docs, mixing.rates(docs.groupBy("source").agg(F.sum("tokens").alias("size")), entries)
+
+
+def p5_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(*_rated(spark, d), "sample_id")
+
+
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    docs, rated = _rated(spark, d)
+    return mixing.shares(mixing.mix(docs, rated, "sample_id"), rated)
+
+
 def _canonical_values(spark: SparkSession, d: str) -> DataFrame:
     """result_id, field, value, canonical of both fields of evaluation_result."""
     r = table(spark, d, "evaluation_result").where("result_id is not null")
@@ -78,6 +118,17 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assign(table(spark, d, "documents")).select("doc_id", "subject").distinct()
+
+
+def p9_makeup(spark: SparkSession, d: str) -> DataFrame:
+    """The make-up of the corpus by subject: documents and their sources."""
+    docs = table(spark, d, "documents")
+    found = subjects.assign(docs).select("doc_id", "subject").distinct()
+    return found.join(docs.select("doc_id", "source"), "doc_id").groupBy("subject", "source").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
