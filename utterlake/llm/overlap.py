@@ -23,8 +23,14 @@ from utterlake.session import drop_path, store
 #: Buckets of the table of shingle frequencies and bits of the table of indexed shingles:
 #: both have this size however large the data are. Full tables cost time, never results.
 FREQUENCY_BUCKETS = 1 << 18
-INDEX_BITS = 1 << 24
+INDEX_BITS = 1 << 26
+#: Shingles no longer than this: shorter ones leave more to choose the rarest from.
+SHINGLE = 6
 POSITION_SLOT = 64
+#: Shingles indexed beyond the (edits + 1): each asks for one more in common.
+EXTRA = 1
+#: Bits of a join key: few enough to shuffle cheaply; keys that fall together are told apart.
+KEY_BITS = 40
 
 
 class _Kept(dict):
@@ -46,13 +52,20 @@ def compared_form(text: str) -> str:
     return text.lower().translate(_KEPT)
 
 
-def shingle_length(min_chars: int, one_in: int) -> int:
-    """The longest shingle such that every text of at least ``min_chars`` characters has more
-    disjoint shingles than a partner may have edits (a ``one_in``-th of the longer text)."""
-    for q in range(one_in - 2, 1, -1):
+def shingle_lengths(min_chars: int, one_in: int) -> list[tuple[int, int, int]]:
+    """(q, from, to): for texts of from <= length < to, the longest shingle (up to
+    SHINGLE) of which they have more disjoint ones than a partner may have edits (a ``one_in``-th of the longer text)."""
+    out: list[tuple[int, int, int]] = []
+    upto = 1 << 31
+    for q in range(min(SHINGLE, one_in - 2), 1, -1):
         # beyond q * one_in**2 the quotients differ by more than one
-        if all(n // q > n // (one_in - 1) for n in range(min_chars, max(min_chars, q * one_in * one_in) + 1)):
-            return q
+        short = [n for n in range(1, q * one_in * one_in) if n // q <= n // (one_in - 1)]
+        least = max(min_chars, max(short, default=0) + 1)
+        if least < upto:
+            out.append((q, least, upto))
+            upto = least
+        if upto == min_chars:
+            return out
     raise ValueError(f"texts of {min_chars} characters are too short for this distance")
 
 
@@ -61,7 +74,7 @@ def _hashes(points: np.ndarray, q: int) -> np.ndarray:
     n = len(points) - q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    h = np.zeros(n, np.uint64)
+    h = np.full(n, q, np.uint64)
     for i in range(q):
         h = h * np.uint64(0x9E3779B97F4A7C15) + points[i : i + n]
         h ^= h >> np.uint64(29)
@@ -90,7 +103,7 @@ def _length_slot(n: np.ndarray, one_in: int) -> np.ndarray:
 def _key(h: np.ndarray, length_slot: np.ndarray, position_slot: np.ndarray) -> np.ndarray:
     k = (h ^ (length_slot.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
     k = ((k ^ (k >> np.uint64(32))) + position_slot.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return k.view(np.int64)
+    return (k >> np.uint64(64 - KEY_BITS)).view(np.int64)
 
 
 def similar_texts(texts: DataFrame, one_in: int = 10, min_chars: int = 40) -> DataFrame:
@@ -102,16 +115,23 @@ def similar_texts(texts: DataFrame, one_in: int = 10, min_chars: int = 40) -> Da
     All such pairs are found: no cap on partners or candidates.
     """
     spark = texts.sparkSession
-    q = shingle_length(min_chars, one_in)
+    plan = shingle_lengths(min_chars, one_in)
     texts = texts.where(F.col("n") >= min_chars)
 
+    def shingles(texts: list[str], step: bool, widen: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        """(lengths, text, position, hash) for each shingle length; with ``step`` the disjoint
+        ones only; with ``widen`` also of lengths that a partner may have."""
+        points, lengths, starts = _flat(texts)
+        for q, least, upto in plan:
+            fit = (lengths < upto * one_in // (one_in - 1) + 1) & (lengths >= least * (one_in - 1) // one_in) if widen else (lengths < upto) & (lengths >= least)
+            text, pos = _places(np.where(fit, lengths, 0), starts, q, q if step else 1)
+            if len(text):
+                yield lengths, text, pos, _hashes(points, q)[starts[text] + pos]
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(FREQUENCY_BUCKETS, np.int64)
         for b in batches:
-            if b.num_rows:
-                points, lengths, starts = _flat(b.column(0).to_pylist())
-                text, pos = _places(lengths, starts, q, 1)
-                h = _hashes(points, q)[starts[text] + pos]
+            for _, _, _, h in shingles(b.column(0).to_pylist(), False, True):
                 seen += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=FREQUENCY_BUCKETS)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["bucket", "count"])
@@ -123,29 +143,26 @@ def similar_texts(texts: DataFrame, one_in: int = 10, min_chars: int = 40) -> Da
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            points, lengths, starts = _flat(b.column(1).to_pylist())
-            text, pos = _places(lengths, starts, q, q)
-            h = _hashes(points, q)[starts[text] + pos]
-            # the rarest (edits + 1) of each text; ties by place
-            order = np.lexsort((pos, shared_often.value[h >> np.uint64(46)], text))
-            rank = np.arange(len(text)) - np.searchsorted(text, text)
-            edits = lengths // (one_in - 1)
-            chosen = order[rank <= edits[text]]
-            text, pos, h = text[chosen], pos[chosen], h[chosen]
-            edits = edits[text]
-            first, last = np.maximum(0, pos - edits) // POSITION_SLOT, (pos + edits) // POSITION_SLOT
-            slots = last - first + 1
-            again = np.repeat(np.arange(len(text)), slots)
-            slot = first[again] + np.arange(len(again)) - np.repeat(np.cumsum(slots) - slots, slots)
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for d in (-1, 0, 1):
-                k = _key(h[again], _length_slot(lengths[text[again]], one_in) + d, slot)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array((h[again] >> np.uint64(40)).astype(np.int64) + 1), pa.array(pos[again].astype(np.int32)), pa.array(lengths[text[again]].astype(np.int32)), pa.array(ids[text[again]])], ["k", "bit", "pos", "n", "left_id"])
-
-    index, index_path = store(texts.where("on_left").select("tid", "text").mapInArrow(prefixes, "k bigint, bit bigint, pos int, n int, left_id bigint"), "prefixes")
-    bits = index.select(F.bitmap_bucket_number("bit").alias("part"), F.bitmap_bit_position("bit").alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
+            for lengths, text, pos, h in shingles(b.column(1).to_pylist(), True, False):
+                # the rarest (edits + 1 + EXTRA) of each text; ties by place
+                order = np.lexsort((pos, shared_often.value[h >> np.uint64(46)], text))
+                rank = np.arange(len(text)) - np.searchsorted(text, text)
+                edits = lengths // (one_in - 1)
+                chosen = order[rank <= edits[text] + EXTRA]
+                text, pos, h = text[chosen], pos[chosen], h[chosen]
+                edits = edits[text]
+                first, last = np.maximum(0, pos - edits) // POSITION_SLOT, (pos + edits) // POSITION_SLOT
+                slots = last - first + 1
+                again = np.repeat(np.arange(len(text)), slots)
+                slot = first[again] + np.arange(len(again)) - np.repeat(np.cumsum(slots) - slots, slots)
+                for d in (-1, 0, 1):
+                    k = _key(h[again], _length_slot(lengths[text[again]], one_in) + d, slot)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pos[again].astype(np.int32)), pa.array(lengths[text[again]].astype(np.int32)), pa.array(ids[text[again]])], ["k", "pos", "n", "left_id"])
+
+    index = texts.where("on_left").select("tid", "text").mapInArrow(prefixes, "k bigint, pos int, n int, left_id bigint")
+    bit = F.shiftrightunsigned("k", KEY_BITS - INDEX_BITS.bit_length() + 1) + 1
+    bits = index.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
     have = np.zeros(INDEX_BITS, bool)
     for r in bits:
         part = np.unpackbits(np.frombuffer(bytes(r["bits"]), np.uint8), bitorder="little").astype(bool)
@@ -154,25 +171,27 @@ def similar_texts(texts: DataFrame, one_in: int = 10, min_chars: int = 40) -> Da
     shared_have = spark.sparkContext.broadcast(np.packbits(have))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.unpackbits(shared_have.value).astype(bool)
+        have = shared_have.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            points, lengths, starts = _flat(b.column(1).to_pylist())
-            text, pos = _places(lengths, starts, q, 1)
-            h = _hashes(points, q)[starts[text] + pos]
-            hit = have[h >> np.uint64(40)]
-            text, pos, h = text[hit], pos[hit], h[hit]
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            k = _key(h, _length_slot(lengths[text], one_in), pos // POSITION_SLOT)
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pos.astype(np.int32)), pa.array(lengths[text].astype(np.int32)), pa.array(ids[text])], ["k", "pos2", "m", "right_id"])
+            for lengths, text, pos, h in shingles(b.column(1).to_pylist(), False, True):
+                k = _key(h, _length_slot(lengths, one_in)[text], pos // POSITION_SLOT)
+                at = k.view(np.uint64) >> np.uint64(KEY_BITS - INDEX_BITS.bit_length() + 1)
+                hit = (have[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
+                text, pos, k = text[hit], pos[hit], k[hit]
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pos.astype(np.int32)), pa.array(lengths[text].astype(np.int32)), pa.array(ids[text])], ["k", "pos2", "m", "right_id"])
 
     probing = texts.where("on_right").select("tid", "text").mapInArrow(probes, "k bigint, pos2 int, m int, right_id bigint")
     most = (F.greatest("n", "m") / F.lit(one_in)).cast("int")
-    met = index.drop("bit").join(probing, "k").where((F.abs(F.col("n") - F.col("m")) <= most) & (F.abs(F.col("pos") - F.col("pos2")) <= most) & (F.col("left_id") != F.col("right_id")))
-    # one row per pair and indexed shingle: an index entry has one position for a text
-    needed = (F.col("n") / F.lit(one_in - 1)).cast("int") + 1 - most
-    pairs = met.groupBy("left_id", "right_id").agg(F.min(needed).alias("needed"), F.count_distinct("pos").alias("met")).where("met >= needed").select("left_id", "right_id")
+    # an unchanged shingle parts both texts, and the edits are those before and those after it
+    met = index.join(probing, "k").where((F.abs(F.col("pos") - F.col("pos2")) + F.abs(F.col("n") - F.col("pos") - F.col("m") + F.col("pos2")) <= most) & (F.col("left_id") != F.col("right_id")))
+    # an indexed shingle may meet several places of a text, which only lets more pairs through
+    whole = F.lit(0)
+    for q, least, upto in plan:
+        whole = F.when((F.col("n") >= least) & (F.col("n") < upto), (F.col("n") / F.lit(q)).cast("int")).otherwise(whole)
+    indexed = F.least(whole, (F.col("n") / F.lit(one_in - 1)).cast("int") + 1 + EXTRA)
+    needed = indexed - most
+    pairs = met.groupBy("left_id", "right_id").agg(F.min(needed).alias("needed"), F.count("pos").alias("met")).where("met >= needed").select("left_id", "right_id")
     t = texts.select("tid", "text")
     both = pairs.join(t.withColumnsRenamed({"tid": "left_id", "text": "a"}), "left_id").join(t.withColumnsRenamed({"tid": "right_id", "text": "b"}), "right_id")
     close = F.expr(f"levenshtein(a, b, cast(greatest(length(a), length(b)) / {int(one_in)} as int))")
@@ -213,7 +232,7 @@ def overlaps(df: DataFrame, train: str = "train", seconds: float = 0.005, one_in
 
     # moments
     slot = F.floor(F.col("timestamp") / F.lit(seconds))
-    at = df.where("audio_path is not null and timestamp is not null and not isnan(timestamp)").select("id", "train", "timestamp", path_numbers(F.col("audio_path")).alias("p")).select("id", "train", "timestamp", slot.alias("slot"), "p.session", "p.channel").where("session is not null and channel is not null").distinct()
+    at = df.where("audio_path is not null and timestamp is not null and not isnan(timestamp)").select("id", "train", "timestamp", path_numbers(F.col("audio_path")).alias("p")).select("id", "train", "timestamp", slot.alias("slot"), "p.session", "p.channel").where("session is not null and channel is not null")
     keys = ["session", "channel", "slot"]
     held = at.where("not train").select("id", "timestamp", "session", "channel", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
     moment = held.join(at.where("train").select(F.col("id").alias("other"), F.col("timestamp").alias("then"), *keys), keys).where(F.abs(F.col("timestamp") - F.col("then")) < F.lit(seconds)).select("id", "other", F.lit("moment").alias("reason"))
