@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from utterlake.functions import text as T
 
@@ -66,7 +67,7 @@ def prefix_end(previous: str, reference: str) -> int:
     return int(best[np.argmin(np.abs(best - n))])
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def align_prefix(previous: pd.Series, reference: pd.Series) -> pd.Series:
     """prefix_end for columns; quadratic in the lengths, where nested expressions are cubic."""
     return pd.Series([prefix_end(a or "", b or "") for a, b in zip(previous, reference)], dtype="int32")

@@ -7,6 +7,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Code point ranges that count as Chinese characters.
 CJK_RANGES = [(0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0x2CEB0, 0x2EBEF)]
@@ -133,7 +134,7 @@ def mixed_tokens(s: Column, hint: Column) -> Column:
     return F.when(norm == "", F.array().cast("array<string>")).when(by_rule, mixed).otherwise(F.split(norm, " "))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(s):  # the JVM has no expression for it
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 

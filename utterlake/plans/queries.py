@@ -75,7 +75,6 @@ def sql_despace(s: str) -> str:
 
 
 def sql_number(s: str) -> str:
-    digits = "regexp_replace(w, '^0+(.)', '\\1')"
     han = "translate({0}, '0123456789', '零一二三四五六七八九')"
     place = "(length(d) - i)"
     one = f"{han.format('substr(d, i, 1)')} || CASE WHEN substr(d, i, 1) = '0' THEN '' ELSE ['', '十', '百', '千'][CAST({place} % 4 AS INTEGER) + 1] END || CASE WHEN {place} % 4 = 0 THEN ['', '万', '亿', '兆'][CAST({place} // 4 AS INTEGER) + 1] ELSE '' END"
@@ -83,10 +82,10 @@ def sql_number(s: str) -> str:
     for pattern, to in (("零+", "零"), ("零([万亿兆])", "\\1"), ("([亿兆])万", "\\1"), ("兆亿", "兆"), ("(.)零$", "\\1"), ("^一十", "十")):
         raw = f"regexp_replace({raw}, '{pattern}', '{to}', 'g')"
     whole = raw.replace("length(d)", "length(split_part(x, '.', 1))").replace("substr(d,", "substr(split_part(x, '.', 1),")
-    # leading zeros don't occur with more than one digit in what follows a text; they are cut first
+    # leading zeros are cut before, so that the positions count what is left
     said = f"{whole} || CASE WHEN split_part(x, '.', 2) <> '' THEN '点' || {han.format(chr(115) + 'plit_part(x, ' + chr(39) + '.' + chr(39) + ', 2)')} ELSE '' END"
     parts = f"regexp_extract_all(regexp_replace({s}, '([0-9]+(?:\\.[0-9]+)?)\\s*%', '百分之\\1', 'g'), '[0-9]+(?:\\.[0-9]+)?|[^0-9]+')"
-    cut = f"list_transform({parts}, lambda x: regexp_replace(x, '^0+([0-9])', '\\1'))"
+    cut = f"list_transform({parts}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]{{1,16}}(\\.[0-9]+)?$') THEN regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END)"
     return f"array_to_string(list_transform({cut}, lambda x: CASE WHEN regexp_matches(x, '^[0-9]{{1,16}}(\\.[0-9]+)?$') THEN {said} ELSE x END), '')"
 
 
