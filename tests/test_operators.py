@@ -15,7 +15,7 @@ def frames(seed):
     p = 0.5
     out = []
     for _ in range(300):
-        p = min(1, max(0, p + r.uniform(-0.3, 0.3)))
+        p = min(1.0, max(0.0, p + r.uniform(-0.3, 0.3)))
         out.append(round(p, 3))
     return out
 

@@ -19,11 +19,13 @@ def expand(beams: DataFrame, group: str, stop: list[int], k: int) -> DataFrame:
     log-probability counts 0. A beam without positions stays as it is, done. Ties keep the
     order beam, position, alternative, the greedy path last.
     """
+    name, group = group, "_group"
+    beams = beams.withColumnRenamed(name, group)
     stops = F.array(*[F.lit(x).cast("int") for x in stop])
     none = F.coalesce(F.size("positions"), F.lit(0)) <= 0
     kept = beams.where(none).select(group, "cum", "tokens", F.lit(True).alias("done"), F.array(F.col("beam"), F.lit(-1), F.lit(-1)).alias("ord"))
     pos = beams.where(~none).select(group, "beam", "cum", "tokens", F.posexplode("positions").alias("p", "x"))
-    lp = F.coalesce(F.element_at(F.filter("x.alts", lambda a: a["token"] == F.col("x.greedy")), 1)["lp"], F.lit(0.0))
+    lp = F.coalesce(F.get(F.filter("x.alts", lambda a: a["token"] == F.col("x.greedy")), 0)["lp"], F.lit(0.0))
     w = Window.partitionBy(group, "beam").orderBy("p")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     pos = pos.withColumn("stopped", F.coalesce(F.max(F.array_contains(stops, F.col("x.greedy")).cast("int")).over(before), F.lit(0)))
@@ -37,4 +39,4 @@ def expand(beams: DataFrame, group: str, stop: list[int], k: int) -> DataFrame:
     ended = F.size("tokens") - F.coalesce(F.array_contains(stops, F.try_element_at("tokens", F.lit(-1))), F.lit(False)).cast("int")
     every = every.withColumn("score", score(F.col("cum"), ended))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "ord"))
-    return every.withColumn("rank", rank).where(F.col("rank") <= k).select(group, "rank", "cum", "tokens", "done", "score")
+    return every.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col(group).alias(name), "rank", "cum", "tokens", "done", "score")
