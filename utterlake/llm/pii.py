@@ -50,6 +50,7 @@ def _scanned(texts: DataFrame, known: tuple[bytes, bytes, bytes] | None, count:
                 if count:
                     often.update(tokens)
                     often.update(map(" ".join, zip(tokens, tokens[1:])))
+                    del often[""]
                 for m in found:
                     k = (*m.tokens, "", "", "")[:3]
                     rows.append((t, r, f, m.group, m.form, m.start, m.end, m.seed, m.left, m.right, m.shape, *k))

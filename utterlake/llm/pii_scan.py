@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass, field
+import zlib
+from bisect import bisect_left
+from dataclasses import dataclass
 
 from utterlake.llm.lookalike import CYRILLIC_LOOKALIKES, GREEK_LOOKALIKES
 
@@ -46,10 +48,17 @@ class Folded:
         return self.at[a], (self.at[b - 1] + 1 if b else 0)
 
 
+# Texts of these characters only change in the width of marks, place by place.
+_PLAIN = re.compile("[\x09\x0a\x0d\x20-\x7e一-鿿。、，！？À-ÖØ-öø-ÿ¿¡]*")
+_MARKS = str.maketrans("，！？", ",!?")
+
+
 def fold(text: str) -> Folded:
     """Width, look-alike and invisible characters out of the way, places remembered."""
     if text.isascii():
         return Folded(text, None)
+    if _PLAIN.fullmatch(text):
+        return Folded(text.translate(_MARKS), None)
     out: list[str] = []
     at: list[int] = []
     odd = False
@@ -144,38 +153,60 @@ def is_han(c: str) -> bool:
     return "㐀" <= c <= "鿿"
 
 
+class _Lower(dict):
+    """Tokens as contexts hold them, remembered."""
+
+    def __missing__(self, t: str) -> str:
+        if len(self) > 500_000:
+            self.clear()
+        self[t] = low = "0" if t.isdigit() else t.lower() if t[0].isalnum() else ""
+        return low
+
+
+_LOW = _Lower()
+
+
 @dataclass
 class Context:
     """Tokens of a text, for what stands left and right of a span."""
 
     text: str
-    tokens: list[tuple[str, int, int]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.tokens = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(self.text)]
-        self.starts = [a for _, a, _ in self.tokens]
+        # in lower case; a number is 0, and a mark, which closes a context, is empty
+        self.low = list(map(_LOW.__getitem__, TOKEN.findall(self.text)))
+        self._tokens: list[tuple[str, int, int]] = []
+
+    @property
+    def tokens(self) -> list[tuple[str, int, int]]:
+        """(token, begin, end); most texts never need their places."""
+        if not self._tokens:
+            self._tokens = [(m.group(), m.start(), m.end()) for m in TOKEN.finditer(self.text)]
+            self._starts = [a for _, a, _ in self._tokens]
+        return self._tokens
+
+    @property
+    def starts(self) -> list[int]:
+        return self._starts if self.tokens else []
+
+    def before(self, i: int, n: int) -> str:
+        """Up to ``n`` tokens before the i-th."""
+        j = i
+        while j > 0 and i - j < n and self.low[j - 1]:
+            j -= 1
+        return " ".join(self.low[j:i]) or "^"
+
+    def after(self, i: int, n: int) -> str:
+        """Up to ``n`` tokens from the i-th on."""
+        j = i
+        while j < len(self.low) and j - i < n and self.low[j]:
+            j += 1
+        return " ".join(self.low[i:j]) or "$"
 
     def around(self, a: int, b: int, n: int = 2) -> tuple[str, str]:
         """The ``n`` tokens before and after, in lower case; a mark or an end closes them."""
-        from bisect import bisect_left
-
-        i = bisect_left(self.starts, a)
-        j = bisect_left(self.starts, b)
-        left: list[str] = []
-        while i > 0 and len(left) < n:
-            i -= 1
-            t = self.tokens[i][0]
-            if not t[0].isalnum():
-                break
-            left.insert(0, "0" if t.isdigit() else t.lower())
-        right: list[str] = []
-        while j < len(self.tokens) and len(right) < n:
-            t = self.tokens[j][0]
-            if not t[0].isalnum():
-                break
-            right.append("0" if t.isdigit() else t.lower())
-            j += 1
-        return " ".join(left) or "^", " ".join(right) or "$"
+        return self.before(bisect_left(self.starts, a), n), self.after(bisect_left(self.starts, b), n)
+
 
 
 def _valid_date(d: str) -> bool:
@@ -187,8 +218,6 @@ def _not_personal(c: Context, a: int, left_words: int = 4) -> bool:
     before = c.text[max(0, a - 24) : a]
     if any(before.rstrip(" :：").endswith(w) for w in NOT_PERSONAL_HAN):
         return True
-    from bisect import bisect_left
-
     i = bisect_left(c.starts, a)
     return any(t.lower() in NOT_PERSONAL for t, _, _ in c.tokens[max(0, i - left_words) : i])
 
@@ -211,6 +240,9 @@ def _phone(digits: str, groups: str, text: str) -> bool:
     )
 
 
+_DIGIT = re.compile(r"\d")
+
+
 def numbers(c: Context, taken: list[tuple[int, int]]) -> list[Mention]:
     out: list[Mention] = []
     used = list(taken)
@@ -223,8 +255,7 @@ def numbers(c: Context, taken: list[tuple[int, int]]) -> list[Mention]:
         left, right = c.around(a, b)
         out.append(Mention("num", "num", a, b, "other" if seed in ("", "phone") and _not_personal(c, a) else seed, left, right, shape))
 
-    has_digit = any(x.isdigit() for x in c.text)
-    if has_digit:
+    if len(_DIGIT.findall(c.text)) >= 6:  # no shape has fewer
         for m in DATE.finditer(c.text):
             used.append(m.span())
         for name, rx in IDS:
@@ -302,9 +333,18 @@ def emails(c: Context) -> list[Mention]:
     return out
 
 
+# what an address of each form cannot do without
+_HAS_EN = re.compile(rf"\s(?:{STREETS_EN})\b", re.I)
+_HAS_DE = re.compile(rf"(?:{STREETS_DE}|straße|strasse|str)\.?\s*,?\s*[\da-zäöüß]", re.I)
+_HAS_ES = re.compile(rf"(?<!\w)(?:{STREETS_ES})\.?\s.*\d", re.I | re.S)
+_HAS_HAN = re.compile(rf"(?:{STREETS_HAN})\s*{_NO_HAN}\s*[号號]")
+
+
 def addresses(c: Context, taken: list[tuple[int, int]]) -> list[Mention]:
     out, used = [], list(taken)
-    for form, rx in (("en", ADDRESS_EN), ("de", ADDRESS_DE), ("es", ADDRESS_ES), ("han", ADDRESS_HAN)):
+    for form, rx, has in (("en", ADDRESS_EN, _HAS_EN), ("de", ADDRESS_DE, _HAS_DE), ("es", ADDRESS_ES, _HAS_ES), ("han", ADDRESS_HAN, _HAS_HAN)):
+        if not has.search(c.text):
+            continue
         for m in rx.finditer(c.text):
             if any(not (m.end() <= x or m.start() >= y) for x, y in used):
                 continue
@@ -333,16 +373,20 @@ class Sketch:
 
     def __init__(self, bits: bytes | None = None) -> None:
         self.bits = bytearray(bits or self.BITS // 8)
+        self.memo: dict[str, bool] = {}
 
     @staticmethod
     def place(s: str) -> int:
-        import zlib
-
         return zlib.crc32(s.encode("utf-8", "surrogatepass")) & (Sketch.BITS - 1)
 
     def __contains__(self, s: str) -> bool:
-        p = self.place(s)
-        return bool(self.bits[p >> 3] >> (p & 7) & 1)
+        known = self.memo.get(s)
+        if known is None:
+            if len(self.memo) > 200_000:
+                self.memo.clear()
+            p = self.place(s)
+            known = self.memo[s] = bool(self.bits[p >> 3] >> (p & 7) & 1)
+        return known
 
 
 @dataclass
@@ -367,12 +411,16 @@ def _known(context: str, sketch: Sketch, n: int) -> bool:
     return context in sketch or " ".join(parts[n:] if n < 0 else parts[:n]) in sketch
 
 
+_LETTER = re.compile("[A-Za-z]")
+_HAN = re.compile("[㐀-鿿]")
+
+
 def names(c: Context, known: Known | None) -> list[Mention]:
     """Titled words and pairs of capitalised words; with ``known`` also pairs of words, and
     Chinese surnames with one or two characters, that known tokens or contexts point to."""
     out: list[Mention] = []
-    toks = c.tokens
-    if any(x.isascii() and x.isalpha() for x in c.text):
+    low = c.low
+    if _LETTER.search(c.text):
         seen = set()
         for m in TITLED.finditer(c.text):
             w = m.group("w")
@@ -394,30 +442,29 @@ def names(c: Context, known: Known | None) -> list[Mention]:
                 continue
             out.append(_mention(c, "capitals", m.start(), m.end(), "", (m.group("a").lower(), m.group("b").lower())))
         if known is not None:
-            for i in range(len(toks) - 1):
-                w, a, _ = toks[i]
-                if not w[0].isalpha() or is_han(w[0]) or len(w) < 2:
+            words = [len(t) > 1 and t[0].isalpha() and not is_han(t[0]) and t not in TITLES for t in low]
+            last = len(low) - 1
+            for i in range(last):
+                if not words[i]:
                     continue
                 j = i + 1
-                if toks[j][0] == "," and j + 1 < len(toks):
-                    j += 1
-                elif len(toks[j][0]) == 1 and toks[j][0].isalpha() and not is_han(toks[j][0]) and j + 1 < len(toks):
-                    j += 1
-                    if toks[j][0] == "." and j + 1 < len(toks):
+                if j < last and not words[j]:
+                    # a comma or an initial may stand between
+                    t = c.tokens[j][0]
+                    if t == ",":
                         j += 1
-                v, _, b = toks[j]
-                if not v[0].isalpha() or is_han(v[0]) or len(v) < 2:
-                    continue
-                w, v = w.lower(), v.lower()
-                if w in TITLES or v in TITLES:
-                    continue
-                if w in known.tokens and v in known.tokens:
-                    out.append(_mention(c, "pair", a, b, "", (w, v)))
+                    elif len(t) == 1 and t.isalpha() and not is_han(t):
+                        j += 1
+                        if j < last and c.tokens[j][0] == ".":
+                            j += 1
+                if not words[j]:
                     continue
-                left, right = c.around(a, b)
-                if left != "^" and left in known.lefts or right != "$" and right in known.rights:
-                    out.append(Mention("name", "context", a, b, "", left, right, "", (w, v)))
-    if any(is_han(x) for x in c.text):
+                w, v = low[i], low[j]
+                pair = w in known.tokens and v in known.tokens
+                left, right = c.before(i, 2), c.after(j + 1, 2)
+                if pair or left != "^" and left in known.lefts or right != "$" and right in known.rights:
+                    out.append(Mention("name", "pair" if pair else "context", c.tokens[i][1], c.tokens[j][2], "", left, right, "", (w, v)))
+    if _HAN.search(c.text):
         for m in HAN_NAME_TITLE.finditer(c.text):
             out.append(_mention(c, "han_title", m.start(), m.end(), "name", (m.group("sur"),), 4))
         if known is not None:
@@ -426,18 +473,18 @@ def names(c: Context, known: Known | None) -> list[Mention]:
                 if b >= len(c.text) or not is_han(c.text[b]) or HAN_NAME_TITLE.match(c.text, a):
                     continue
                 one, two = c.text[b], c.text[b + 1 : b + 2]
-                left = c.around(a, a, 4)[0]
-                hold = _known(left, known.lefts, -2)
-                far = bool(two) and is_han(two)
-                if far and (hold or two in known.tokens and one in known.tokens or _known(c.around(b + 2, b + 2, 4)[1], known.rights, 2)):
+                i = bisect_left(c.starts, b)
+                hold = _known(c.before(i - (b - a), 4), known.lefts, -2)
+                near = one in known.tokens
+                if bool(two) and is_han(two) and (hold or near and two in known.tokens or _known(c.after(i + 2, 4), known.rights, 2)):
                     out.append(_mention(c, "han", a, b + 2, "", (m.group(), one, two), 4))
-                if hold or one in known.tokens or _known(c.around(b + 1, b + 1, 4)[1], known.rights, 2):
+                if hold or near or _known(c.after(i + 1, 4), known.rights, 2):
                     out.append(_mention(c, "han", a, b + 1, "", (m.group(), one), 4))
     return out
 
 
 def scan(text: str, known: Known | None, first: bool) -> tuple[list[Mention], list[str]]:
-    """(mentions with places in the original text, tokens in lower case). The first round also
+    """(mentions with places in the original text, tokens in lower case, empty for marks). The first round also
     looks for emails, addresses and numbers, which later rounds needn't."""
     f = fold(text)
     c = Context(f.text)
@@ -449,7 +496,7 @@ def scan(text: str, known: Known | None, first: bool) -> tuple[list[Mention], li
     out += names(c, known)
     for m in out:
         m.start, m.end = f.span(m.start, m.end)
-    return out, ["0" if t.isdigit() else t.lower() for t, _, _ in c.tokens]
+    return out, c.low if first else []
 
 
 EMAIL_WORD = re.compile(r"\b(?:dot|punkt|punto|at|arroba|ät)\b|[点點]", re.I)
