@@ -10,18 +10,18 @@ each subject; a document gets the subjects of which its sentences' topics have t
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
-import unicodedata
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from utterlake.llm.leakage import _APOSTROPHE, _INVISIBLE, _MARK, _SPEAKER, _UNIT
+from utterlake.llm.leakage import _APOSTROPHE, _INVISIBLE, _MARK, _SPEAKER
 from utterlake.session import drop_path, store
 
 # Inspected terms of each subject, by language (words, or Chinese pairs of
@@ -81,20 +81,21 @@ GROUPS = ("en", "de", "es", "zh", "other")
 #: Terms in each model, by document frequency within bounds; fixed, as topics and counts are
 #: sent around.
 VOCABULARY = 4096
-_END = regex.compile(r"[.?!;,:…。，！？；：、\n]+")
+_TOKEN = re.compile("[㐀-䶿一-鿿豈-﫿]+|[.?!;,:…。，！？；：、\n]+|[^\\W_㐀-䶿一-鿿豈-﫿]+")
+# Texts of these characters need no normal form.
+_PLAIN = re.compile("[\x09\x0a\x0d\x20-\x7e一-鿿。、，！？；：À-ÖØ-öø-ÿ¿¡]*")
 _LANG = {"yue": "zh", "cmn": "zh"}
 
 
-def group_of(lang: str | None, words: list[str]) -> str:
-    """The language group, by the text where it tells, else by the hint."""
-    if not words:
+def group_of(lang: str | None, han: int, words: list[str]) -> str:
+    """The language group, by the text (its number of Chinese characters, its words) where it
+    tells, else by the hint."""
+    if not han and not words:
         return "other"
-    han = sum(1 for w in words if "㐀" <= w[0] <= "鿿")
-    if han * 2 > len(words):
+    if han > len(words):
         return "zh"
-    votes = {g: sum(w in s for w in words) for g, s in _STOP.items()}
-    best = max(votes, key=lambda g: votes[g])
-    if votes[best] * 20 > len(words):
+    best = max(_STOP, key=lambda g: sum(map(_STOP[g].__contains__, words)))
+    if sum(map(_STOP[best].__contains__, words)) * 20 > len(words):
         return best
     hint = (lang or "").lower()[:3].split("-")[0]
     hint = _LANG.get(hint, hint)
@@ -103,29 +104,43 @@ def group_of(lang: str | None, words: list[str]) -> str:
 
 def terms(text: str, lang: str | None, window: int = 16) -> tuple[str, list[str]]:
     """(group, terms with '' after each sentence). Terms are words of three letters or more, and
-    pairs of neighbouring Chinese characters. Without marks a sentence ends after twice
-    ``window`` words."""
-    if not text.isascii():
+    pairs of neighbouring Chinese characters. A sentence without marks ends after twice
+    ``window`` words or characters."""
+    if not text.isascii() and not _PLAIN.fullmatch(text):
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    if ":" in text:
+    if "[" in text or "(" in text:
         text = _SPEAKER.sub(" ", _MARK.sub(" ", text))
     out: list[str] = []
     words: list[str] = []
-    for sentence in _END.split(_APOSTROPHE.sub("", text.lower())):
-        u = _UNIT.findall(sentence)
-        words += u
-        for lo in range(0, len(u), window) if len(u) > 2 * window else (0,):
-            part = u[lo : lo + window] if len(u) > 2 * window else u
-            n = len(out)
-            for i, w in enumerate(part):
-                if "㐀" <= w[0] <= "鿿":
-                    if i + 1 < len(part) and "㐀" <= part[i + 1][0] <= "鿿":
-                        out.append(w + part[i + 1])
-                elif len(w) > 2 and not w.isdigit():
-                    out.append(w)
-            if len(out) > n:
+    han = size = 0
+    for w in _TOKEN.findall(_APOSTROPHE.sub("", text.lower())):
+        c = w[0]
+        if c >= "㐀" and c <= "﫿" and c not in "！，：；？":
+            han += len(w)
+            for lo in range(0, len(w), 2 * window) if len(w) > 2 * window else (0,):
+                if lo:
+                    out.append("")
+                    size = 0
+                part = w[lo : lo + 2 * window]
+                out += map(str.__add__, part, part[1:])
+            size += len(part)
+        elif c.isalnum():
+            words.append(w)
+            if len(w) > 2 and not c.isdigit():
+                out.append(w)
+            size += 1
+        else:
+            if out and out[-1]:
+                out.append("")
+            size = 0
+            continue
+        if size >= 2 * window:
+            if out and out[-1]:
                 out.append("")
-    return group_of(lang, words), out
+            size = 0
+    if out and out[-1]:
+        out.append("")
+    return group_of(lang, han, words), out
 
 
 def _tokenized(docs: DataFrame) -> DataFrame:
@@ -140,7 +155,7 @@ def _tokenized(docs: DataFrame) -> DataFrame:
 
         def counts() -> pa.RecordBatch:
             some = [g for g in GROUPS if number[g]]
-            return rows([None] * len(some), some, [["", *df[g]] for g in some], [[number[g], *df[g].values()] for g in some])
+            return rows([None] * len(some), some, [["", *(w for w in df[g] if w)] for g in some], [[number[g], *(n for w, n in df[g].items() if w)] for g in some])
 
         for b in batches:
             ids, texts, langs = (b.column(i).to_pylist() for i in range(3))
@@ -150,7 +165,7 @@ def _tokenized(docs: DataFrame) -> DataFrame:
                 grp.append(g)
                 all_.append(x)
                 number[g] += 1
-                df[g].update(w for w in set(x) if w)
+                df[g].update(set(x))
             yield rows(ids, grp, all_, [None] * len(ids))
             if sum(map(len, df.values())) > 1_000_000:
                 yield counts()
@@ -241,8 +256,9 @@ def _batch(b: pa.RecordBatch, group: str) -> tuple[np.ndarray, np.ndarray, np.nd
     return rows, doc, flat, sentence
 
 
-def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], free: int = 8, rounds: int = 12, steps: int = 3, seed: int = 42) -> dict[str, Model]:
-    """Topics of each group, fitted on all documents in ``rounds`` rounds. A part of the table
+def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], free: int = 8, rounds: int = 12, steps: int = 2, settled: float = 0.1, seed: int = 42) -> dict[str, Model]:
+    """Topics of each group, fitted on all documents in ``rounds`` rounds at most, until no group's
+    topics move more than ``settled`` of their weight in a round, on average. A part of the table
     hands on its expected counts (topics x terms, a fixed size); they are added up in two
     levels, so that the driver receives about the square root of their number."""
     spark = numbered.sparkSession
@@ -284,10 +300,16 @@ def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], free: int = 8, ro
         for r in sums.toLocalIterator() if parts > 4096 else sums.collect():
             a = np.frombuffer(bytes(r["counts"]), np.float32).astype(np.float64)
             total[r["grp"]] = total[r["grp"]] + a if r["grp"] in total else a
+        moved = 0.0
         for g, s in total.items():
-            s = s.reshape(models[g].phi.shape) + 0.01
-            models[g] = Model((s / s.sum(1, keepdims=True)).astype(np.float32), models[g].prior)
+            s = s.reshape(models[g].phi.shape)
+            weight = s.sum(1) / s.sum()
+            phi = ((s + 0.01) / (s + 0.01).sum(1, keepdims=True)).astype(np.float32)
+            moved = max(moved, float((np.abs(phi - models[g].phi).sum(1) / 2 * weight).sum()))
+            models[g] = Model(phi, models[g].prior)
         shared.unpersist()
+        if moved < settled:
+            break
     return models
 
 
@@ -305,7 +327,7 @@ def topic_subjects(model: Model, words: list[str], group: str, top: int = 20, le
     return out
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = 0.3, least: float = 0.002, most: float = 0.2, sure: float = 0.5, free: int = 8, rounds: int = 12, seed: int = 42) -> DataFrame:
+def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", share: float = 0.3, least: float = 0.003, most: float = 0.15, sure: float = 0.5, free: int = 8, rounds: int = 12, seed: int = 42) -> DataFrame:
     """(id, subject, share): the subjects that at least ``share`` of a document's sentences are
     about; none for a document below it, or with a null, empty or blank text.
 
