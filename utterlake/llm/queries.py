@@ -95,6 +95,11 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mix(docs, rated, "sample_id"), rated)
 
 
+def p5_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and target shares of the sources of each configuration."""
+    return _rated(spark, d)[1].select("config_id", "source", "size", F.round("target_share", 9).alias("target_share"))
+
+
 def _canonical_values(spark: SparkSession, d: str) -> DataFrame:
     """result_id, field, value, canonical of both fields of evaluation_result."""
     r = table(spark, d, "evaluation_result").where("result_id is not null")
@@ -133,5 +138,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
+_MEASURED = "SELECT DISTINCT result_id, run_id, source, evaluated_at, first_token_latency_ms, last_token_latency_ms, cer FROM evaluation_result WHERE result_id IS NOT NULL"
+_LONG = " UNION ALL ".join(
+    f"SELECT '{part}' AS part, {key} AS key, '{m}' AS metric, {m} AS value FROM ({_MEASURED}) WHERE {m} IS NOT NULL AND NOT isnan({m})" + (f" AND {m} >= 0" if m != "cer" else "")
+    for part, key in (("run", "run_id"), ("source", "source"), ("day", "strftime(evaluated_at, '%Y-%m-%d')"))
+    for m in METRICS
+)
+_RANKED = f"SELECT *, row_number() OVER (PARTITION BY part, key, metric ORDER BY value) AS place, count(*) OVER (PARTITION BY part, key, metric) AS n FROM ({_LONG})"
+
+_CORPUS = r"list_last(string_split(regexp_replace(regexp_replace(lower(trim(train_data_paths)), '[\\/]+', '/', 'g'), '/[^/]*$', ''), '/'))"
+_SIZES = r"SELECT source, CAST(sum(t) AS DOUBLE) AS size FROM (SELECT DISTINCT sample_id, lower(source) AS source, len(regexp_extract_all(coalesce(previous_transcript, ''), '{0}')) + len(regexp_extract_all(coalesce(continuation_transcript, ''), '{0}')) AS t FROM data_synthesize WHERE split = 'train' AND source IS NOT NULL AND sample_id IS NOT NULL) GROUP BY source".format(r"[㐀-䶿一-鿿]|[^\s\p{P}㐀-䶿一-鿿]+")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express at all on whole tables; the other operators are tested
+    against brute force."""
+    return {
+        "p4_percentiles": f"SELECT r.part, r.key, r.metric, r.n, CAST(s.i AS INTEGER) AS percent, r.value FROM ({_RANKED}) r, (SELECT unnest(range(101)) AS i) s WHERE r.place = greatest(1, (s.i * r.n + 99) // 100)",
+        "p5_targets": f"SELECT config_id, source, size, round(CASE WHEN size > 0 THEN weight ELSE 0 END / sum(CASE WHEN size > 0 THEN weight ELSE 0 END) OVER (PARTITION BY config_id), 9) AS target_share FROM (SELECT e.config_id, e.source, coalesce(z.size, 0) AS size, e.weight FROM (SELECT config_id, source, CAST(sum(weight) AS DOUBLE) AS weight FROM (SELECT DISTINCT config_id, entry_no, {_CORPUS} AS source, coalesce(weight, 1) AS weight, max_repeat FROM training_qwen2audio) WHERE weight > 0 GROUP BY config_id, source) e LEFT JOIN ({_SIZES}) z ON e.source = z.source)",
+    }
