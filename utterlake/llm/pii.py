@@ -181,8 +181,7 @@ def find_spans(texts: DataFrame, rounds: int = 2, least_seeds: int = 2, context_
     string, row_id bigint, field string, text string).
 
     start and end count characters of the text, end excluded. kind is one of KINDS. Null
-    and empty texts have none; a text that comes twice under the same key gives equal rows
-    twice. Spans of different kinds may overlap; :func:`redact` takes the first and longest.
+    and empty texts have none; a text that comes twice under the same key counts once. Spans of different kinds may overlap; :func:`redact` takes the first and longest.
     ``rounds`` of names follow the first scan; a context counts from ``least_seeds`` different
     names on that take ``context_share`` of its occurrences; tokens count as names where
     ``sure`` (in a known context ``held``) of their occurrences are in names.
