@@ -50,7 +50,10 @@ class Folded:
 
 # Texts of these characters only change in the width of marks, place by place.
 _PLAIN = re.compile("[\x09\x0a\x0d\x20-\x7e一-鿿。、，！？À-ÖØ-öø-ÿ¿¡]*")
+_OWN = re.compile("[\x09\x0a\x0d\x20-\x7e一-鿿。、，！？А-яЁёΆΈ-ΊΌΎ-ΡΣ-ώ]*")
 _MARKS = str.maketrans("，！？", ",!?")
+_LOOKALIKES = str.maketrans(GREEK_LOOKALIKES | CYRILLIC_LOOKALIKES)
+_CYRILLIC, _GREEK, _LATIN_OR_HAN = re.compile("[Ѐ-ӿ]"), re.compile("[Ͱ-Ͽ]"), re.compile("[A-Za-z一-鿿]")
 
 
 def fold(text: str) -> Folded:
@@ -59,13 +62,16 @@ def fold(text: str) -> Folded:
         return Folded(text, None)
     if _PLAIN.fullmatch(text):
         return Folded(text.translate(_MARKS), None)
+    cyr, gre = len(_CYRILLIC.findall(text)), len(_GREEK.findall(text))
+    mapped = bool(cyr + gre) and max(cyr, gre) < len(_LATIN_OR_HAN.findall(text))
+    if mapped:
+        if _PLAIN.fullmatch(looks := text.translate(_LOOKALIKES)):
+            return Folded(looks.translate(_MARKS), None)
+    elif _OWN.fullmatch(text):
+        return Folded(text.translate(_MARKS), None)
     out: list[str] = []
     at: list[int] = []
     odd = False
-    cyr = sum("Ѐ" <= c <= "ӿ" for c in text)
-    gre = sum("Ͱ" <= c <= "Ͽ" for c in text)
-    latin = sum(c.isascii() and c.isalpha() for c in text)
-    mapped = cyr + gre and max(cyr, gre) < latin + sum("一" <= c <= "鿿" for c in text)
     for i, c in enumerate(text):
         if c.isascii() or "一" <= c <= "鿿":
             out.append(c)
@@ -104,6 +110,9 @@ class Mention:
     tokens: tuple[str, ...] = ()
 
 
+_LETTER = re.compile("[A-Za-z]")
+_HAN = re.compile("[㐀-鿿]")
+
 # ---- email ----
 _AT = r"(?:\s?@\s?|\s*[\[({]\s*(?:at|ät|arroba|艾特)\s*[\])}]\s*|\s+(?:at|ät|arroba)\s+|\s*艾特\s*)"
 _SPELT_DOT = r"(?:\s*[\[({]\s*(?:dot|punkt|punto|[点點])\s*[\])}]\s*|\s+(?:dot|punkt|punto)\s+|\s*[点點]\s*)"
@@ -153,6 +162,9 @@ def is_han(c: str) -> bool:
     return "㐀" <= c <= "鿿"
 
 
+_CLOSING = frozenset(",.?!。、；：;:…")
+
+
 class _Lower(dict):
     """Tokens as contexts hold them, remembered."""
 
@@ -203,6 +215,24 @@ class Context:
             j += 1
         return " ".join(self.low[i:j]) or "$"
 
+    def han_before(self, a: int, n: int = 4) -> str:
+        """What ``around`` gives left of a Chinese character: mostly the characters before it."""
+        t, j = self.text, a
+        while j > 0 and a - j < n and is_han(t[j - 1]):
+            j -= 1
+        if a - j == n or j == 0 or t[j - 1] in _CLOSING:
+            return " ".join(t[j:a]) or "^"
+        return self.before(bisect_left(self.starts, a), n)
+
+    def han_after(self, b: int, n: int = 4) -> str:
+        """What ``around`` gives right of a Chinese character."""
+        t, j = self.text, b
+        while j < len(t) and j - b < n and is_han(t[j]):
+            j += 1
+        if j - b == n or j == len(t) or t[j] in _CLOSING:
+            return " ".join(t[b:j]) or "$"
+        return self.after(bisect_left(self.starts, b), n)
+
     def around(self, a: int, b: int, n: int = 2) -> tuple[str, str]:
         """The ``n`` tokens before and after, in lower case; a mark or an end closes them."""
         return self.before(bisect_left(self.starts, a), n), self.after(bisect_left(self.starts, b), n)
@@ -291,7 +321,9 @@ def numbers(c: Context, taken: list[tuple[int, int]]) -> list[Mention]:
                     continue
             seed = "phone" if plus and len(digits) <= 15 or _phone(digits, groups, t) else ""
             add(a, b, seed, f"{'+' if plus else ''}{len(digits)}:{digits[0]}:{groups}")
-    for rx, table in ((SPOKEN, DIGIT_WORDS), (HAN_SPOKEN, HAN_DIGITS)):
+    for rx, table, has in ((SPOKEN, DIGIT_WORDS, _LETTER), (HAN_SPOKEN, HAN_DIGITS, _HAN)):
+        if not has.search(c.text):
+            continue
         for m in rx.finditer(c.text):
             if not free(*m.span()):
                 continue
@@ -342,8 +374,9 @@ _HAS_HAN = re.compile(rf"(?:{STREETS_HAN})\s*{_NO_HAN}\s*[号號]")
 
 def addresses(c: Context, taken: list[tuple[int, int]]) -> list[Mention]:
     out, used = [], list(taken)
+    latin, han = _LETTER.search(c.text), _HAN.search(c.text)
     for form, rx, has in (("en", ADDRESS_EN, _HAS_EN), ("de", ADDRESS_DE, _HAS_DE), ("es", ADDRESS_ES, _HAS_ES), ("han", ADDRESS_HAN, _HAS_HAN)):
-        if not has.search(c.text):
+        if not (han if form == "han" else latin) or not has.search(c.text):
             continue
         for m in rx.finditer(c.text):
             if any(not (m.end() <= x or m.start() >= y) for x, y in used):
@@ -373,19 +406,23 @@ class Sketch:
 
     def __init__(self, bits: bytes | None = None) -> None:
         self.bits = bytearray(bits or self.BITS // 8)
-        self.memo: dict[str, bool] = {}
-
-    @staticmethod
-    def place(s: str) -> int:
-        return zlib.crc32(s.encode("utf-8", "surrogatepass")) & (Sketch.BITS - 1)
+        self.has = _Answers(self.bits)
 
     def __contains__(self, s: str) -> bool:
-        known = self.memo.get(s)
-        if known is None:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            p = self.place(s)
-            known = self.memo[s] = bool(self.bits[p >> 3] >> (p & 7) & 1)
+        return self.has[s]
+
+
+class _Answers(dict):
+    """Whether strings are in a sketch, remembered."""
+
+    def __init__(self, bits: bytearray) -> None:
+        self.bits = bits
+
+    def __missing__(self, s: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        p = zlib.crc32(s.encode("utf-8", "surrogatepass")) & (Sketch.BITS - 1)
+        self[s] = known = bool(self.bits[p >> 3] >> (p & 7) & 1)
         return known
 
 
@@ -411,10 +448,6 @@ def _known(context: str, sketch: Sketch, n: int) -> bool:
     return context in sketch or " ".join(parts[n:] if n < 0 else parts[:n]) in sketch
 
 
-_LETTER = re.compile("[A-Za-z]")
-_HAN = re.compile("[㐀-鿿]")
-
-
 def names(c: Context, known: Known | None) -> list[Mention]:
     """Titled words and pairs of capitalised words; with ``known`` also pairs of words, and
     Chinese surnames with one or two characters, that known tokens or contexts point to."""
@@ -444,6 +477,7 @@ def names(c: Context, known: Known | None) -> list[Mention]:
         if known is not None:
             words = [len(t) > 1 and t[0].isalpha() and not is_han(t[0]) and t not in TITLES for t in low]
             last = len(low) - 1
+            token, on_left, on_right = known.tokens.has, known.lefts.has, known.rights.has
             for i in range(last):
                 if not words[i]:
                     continue
@@ -460,9 +494,9 @@ def names(c: Context, known: Known | None) -> list[Mention]:
                 if not words[j]:
                     continue
                 w, v = low[i], low[j]
-                pair = w in known.tokens and v in known.tokens
+                pair = token[w] and token[v]
                 left, right = c.before(i, 2), c.after(j + 1, 2)
-                if pair or left != "^" and left in known.lefts or right != "$" and right in known.rights:
+                if pair or left != "^" and on_left[left] or right != "$" and on_right[right]:
                     out.append(Mention("name", "pair" if pair else "context", c.tokens[i][1], c.tokens[j][2], "", left, right, "", (w, v)))
     if _HAN.search(c.text):
         for m in HAN_NAME_TITLE.finditer(c.text):
@@ -473,12 +507,11 @@ def names(c: Context, known: Known | None) -> list[Mention]:
                 if b >= len(c.text) or not is_han(c.text[b]) or HAN_NAME_TITLE.match(c.text, a):
                     continue
                 one, two = c.text[b], c.text[b + 1 : b + 2]
-                i = bisect_left(c.starts, b)
-                hold = _known(c.before(i - (b - a), 4), known.lefts, -2)
+                hold = _known(c.han_before(a), known.lefts, -2)
                 near = one in known.tokens
-                if bool(two) and is_han(two) and (hold or near and two in known.tokens or _known(c.after(i + 2, 4), known.rights, 2)):
+                if bool(two) and is_han(two) and (hold or near and two in known.tokens or _known(c.han_after(b + 2), known.rights, 2)):
                     out.append(_mention(c, "han", a, b + 2, "", (m.group(), one, two), 4))
-                if hold or near or _known(c.after(i + 1, 4), known.rights, 2):
+                if hold or near or _known(c.han_after(b + 1), known.rights, 2):
                     out.append(_mention(c, "han", a, b + 1, "", (m.group(), one), 4))
     return out
 
