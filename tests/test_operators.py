@@ -150,6 +150,11 @@ def test_prompt(spark):
     assert "  1. a\n  2. b\n" in first and first.endswith('after "p"?') and 'transcript: ""' in second
 
 
+def test_prompt_without_audio(spark):
+    df = spark.createDataFrame([(["a"], "p")], "c array<string>, p string")
+    assert df.select(dataset.prompt(F.col("c"), F.col("p"), 3, audio=False)).first()[0].startswith("Given the following ASR")
+
+
 def test_pcm(spark):
     df = spark.createDataFrame([([float(i) for i in range(10)],), ([],)], "x array<double>")
     assert [r[0] for r in df.select(pcm.cut(F.col("x"), F.lit(0.2), F.lit(0.55), 10)).collect()] == [[2.0, 3.0, 4.0], []]

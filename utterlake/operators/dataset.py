@@ -13,14 +13,22 @@ PROMPT_AUDIO = (
     "Based on the audio, what is the correct text that should be appended after ",
 )
 
+PROMPT_TEXT = (
+    "Given the following ASR transcription candidates, predict the correct continuation.",
+    "Previous confirmed transcript: ",
+    "K-best candidates for the continuation:",
+    "Based on the context and candidates, what is the correct text that should be appended after ",
+)
+
 
 def numbered(candidates: Column) -> Column:
     return F.array_join(F.transform(candidates, lambda x, i: F.concat(F.lit("  "), (i + 1).cast("string"), F.lit(". "), x)), "\n")
 
 
-def prompt(candidates: Column, previous: Column, most: int) -> Column:
-    """The instruction for a correction, with the first ``most`` candidates numbered."""
-    head, said, best, ask = PROMPT_AUDIO
+def prompt(candidates: Column, previous: Column, most: int, audio: bool = True) -> Column:
+    """The instruction for a correction, with or without audio, with the first ``most`` candidates
+    numbered. A null transcript is empty; null candidates are left out."""
+    head, said, best, ask = PROMPT_AUDIO if audio else PROMPT_TEXT
     q = F.concat(F.lit('"'), F.coalesce(previous, F.lit("")), F.lit('"'))
     listed = numbered(F.filter(F.slice(candidates, 1, most), lambda x: x.isNotNull()))
     return F.concat(F.lit(f"{head}\n\n{said}"), q, F.lit(f"\n\n{best}\n"), listed, F.lit(f"\n\n{ask}"), q, F.lit("?"))
