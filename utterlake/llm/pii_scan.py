@@ -111,6 +111,7 @@ class Mention:
 
 
 _LETTER = re.compile("[A-Za-z]")
+_DIGIT = re.compile(r"\d")
 _HAN = re.compile("[㐀-鿿]")
 
 # ---- email ----
@@ -155,6 +156,7 @@ ADDRESS_WIDE = re.compile(r"(?<![\w.])\d{1,4}[a-z]?\s+[A-Z][a-z]+\s+[A-Z][a-z]+"
 # ---- tokens ----
 TOKEN = re.compile(r"[㐀-䶿一-鿿]|[^\W\d_㐀-䶿一-鿿]+(?:['’-][^\W\d_㐀-䶿一-鿿]+)*|\d+|[^\w\s]|_")
 HAN_NAME_TITLE = re.compile(rf"(?P<sur>{'|'.join(DOUBLE_SURNAMES)}|[{''.join(sorted(SURNAMES))}])(?P<title>{HAN_TITLES})")
+_TITLE_STARTS = frozenset(t[0] for t in HAN_TITLES.split("|"))
 HAN_SURNAME = re.compile(rf"{'|'.join(DOUBLE_SURNAMES)}|[{''.join(sorted(SURNAMES))}]")
 
 
@@ -270,9 +272,6 @@ def _phone(digits: str, groups: str, text: str) -> bool:
     )
 
 
-_DIGIT = re.compile(r"\d")
-
-
 def numbers(c: Context, taken: list[tuple[int, int]]) -> list[Mention]:
     out: list[Mention] = []
     used = list(taken)
@@ -374,9 +373,9 @@ _HAS_HAN = re.compile(rf"(?:{STREETS_HAN})\s*{_NO_HAN}\s*[号號]")
 
 def addresses(c: Context, taken: list[tuple[int, int]]) -> list[Mention]:
     out, used = [], list(taken)
-    latin, han = _LETTER.search(c.text), _HAN.search(c.text)
+    latin, digit, han = _LETTER.search(c.text), _DIGIT.search(c.text), "号" in c.text or "號" in c.text
     for form, rx, has in (("en", ADDRESS_EN, _HAS_EN), ("de", ADDRESS_DE, _HAS_DE), ("es", ADDRESS_ES, _HAS_ES), ("han", ADDRESS_HAN, _HAS_HAN)):
-        if not (han if form == "han" else latin) or not has.search(c.text):
+        if not (han if form == "han" else latin and (form != "es" or digit)) or not has.search(c.text):
             continue
         for m in rx.finditer(c.text):
             if any(not (m.end() <= x or m.start() >= y) for x, y in used):
@@ -385,7 +384,7 @@ def addresses(c: Context, taken: list[tuple[int, int]]) -> list[Mention]:
             left, right = c.around(*m.span())
             g = m.groupdict()
             out.append(Mention("address", form, m.start(), m.end(), "address", left, right, (g.get("type") or form).lower()))
-    for m in ADDRESS_WIDE.finditer(c.text):
+    for m in ADDRESS_WIDE.finditer(c.text) if digit and latin else ():
         if all(m.end() <= x or m.start() >= y for x, y in used):
             left, right = c.around(*m.span())
             out.append(Mention("address", "wide", m.start(), m.end(), "", left, right, "wide"))
@@ -434,18 +433,28 @@ class Known:
     lefts: Sketch
     rights: Sketch
 
+    def __post_init__(self) -> None:
+        self.left_of, self.right_of = _Contexts(self.lefts, False), _Contexts(self.rights, True)
+
 
 def _mention(c: Context, form: str, a: int, b: int, seed: str, tokens: tuple[str, ...], n: int = 2) -> Mention:
     left, right = c.around(a, b, n)
     return Mention("name", form, a, b, seed, left, right, "", tokens)
 
 
-def _known(context: str, sketch: Sketch, n: int) -> bool:
-    """Whether the context, or its part of two tokens next to the name, is known."""
-    if context in "^$":
-        return False
-    parts = context.split(" ")
-    return context in sketch or " ".join(parts[n:] if n < 0 else parts[:n]) in sketch
+class _Contexts(dict):
+    """Whether a context, or its part of two tokens next to the name, is in a sketch, remembered."""
+
+    def __init__(self, sketch: Sketch, right: bool) -> None:
+        self.sketch, self.right = sketch, right
+
+    def __missing__(self, context: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        parts = context.split(" ")
+        near = " ".join(parts[:2] if self.right else parts[-2:])
+        self[context] = known = context not in "^$" and (context in self.sketch or near in self.sketch)
+        return known
 
 
 def names(c: Context, known: Known | None) -> list[Mention]:
@@ -495,23 +504,25 @@ def names(c: Context, known: Known | None) -> list[Mention]:
                     continue
                 w, v = low[i], low[j]
                 pair = token[w] and token[v]
-                left, right = c.before(i, 2), c.after(j + 1, 2)
+                left = f"{low[i - 2]} {low[i - 1]}" if i > 1 and low[i - 1] and low[i - 2] else c.before(i, 2)
+                right = f"{low[j + 1]} {low[j + 2]}" if j + 1 < last and low[j + 1] and low[j + 2] else c.after(j + 1, 2)
                 if pair or left != "^" and on_left[left] or right != "$" and on_right[right]:
                     out.append(Mention("name", "pair" if pair else "context", c.tokens[i][1], c.tokens[j][2], "", left, right, "", (w, v)))
     if _HAN.search(c.text):
         for m in HAN_NAME_TITLE.finditer(c.text):
             out.append(_mention(c, "han_title", m.start(), m.end(), "name", (m.group("sur"),), 4))
         if known is not None:
+            token, left_of, right_of = known.tokens.has, known.left_of, known.right_of
             for m in HAN_SURNAME.finditer(c.text):
                 a, b = m.start(), m.end()
-                if b >= len(c.text) or not is_han(c.text[b]) or HAN_NAME_TITLE.match(c.text, a):
+                if b >= len(c.text) or not is_han(c.text[b]) or c.text[b] in _TITLE_STARTS and HAN_NAME_TITLE.match(c.text, a):
                     continue
                 one, two = c.text[b], c.text[b + 1 : b + 2]
-                hold = _known(c.han_before(a), known.lefts, -2)
-                near = one in known.tokens
-                if bool(two) and is_han(two) and (hold or near and two in known.tokens or _known(c.han_after(b + 2), known.rights, 2)):
+                hold = left_of[c.han_before(a)]
+                near = token[one]
+                if bool(two) and is_han(two) and (hold or near and token[two] or right_of[c.han_after(b + 2)]):
                     out.append(_mention(c, "han", a, b + 2, "", (m.group(), one, two), 4))
-                if hold or near or _known(c.han_after(b + 1), known.rights, 2):
+                if hold or near or right_of[c.han_after(b + 1)]:
                     out.append(_mention(c, "han", a, b + 1, "", (m.group(), one), 4))
     return out
 
