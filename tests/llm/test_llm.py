@@ -313,3 +313,26 @@ def test_subjects(spark):
     got = {(x["doc_id"], x["subject"]) for x in subjects.assign(df, most=0.5, rounds=4).collect()}
     assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.03 * len(want)
     assert subjects.assign(df.limit(0)).count() == 0
+
+
+def test_subject_of_a_third_of_the_corpus(spark):
+    r = random.Random(8)
+    everyday = ["kettle", "ladder", "scarf", "card", "poster", "bucket", "carpet", "mirror"]
+    listed = {s: by["en"].split() for s, by in subjects.INSPECTED.items()}
+    others = sorted(set(listed) - {"science"})
+    # frequent in the corpus, as science is: inspected terms, and terms of its own
+    frequent, own = ["telescope", "isotope", "wavelength", "fossil"], ["quasar", "nebula", "plasma", "pipette"]
+    rows, want = [], set()
+    for i in range(600):
+        s = "science" if i % 3 == 0 else others[i // 3 % 9] if i // 3 % 9 < 7 else None
+        said = [r.choice(frequent) if k < 3 else r.choice(own) for k in range(6)] if s == "science" else [r.choice(listed[s]) for _ in range(6)] if s else []
+        said += [r.choice(everyday) for _ in range(12 - len(said))]
+        rows.append((i, ". ".join(f"the {w} was {r.choice(['near', 'under', 'behind'])} the house" for w in said), "en"))
+        if s:
+            want.add((i, s))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = {(x["doc_id"], x["subject"]) for x in subjects.assign(df).collect()}
+    for s in listed:
+        true = {x for x in want if x[1] == s}
+        assert len(got & true) >= 0.95 * len(true), s
+    assert len(got - want) <= 0.03 * len(want)

@@ -2,7 +2,8 @@
 
 One model per group of languages (languages share no terms): parts of the corpus infer the
 topic shares of their documents under the current topics and hand on expected counts, which
-are added up by a tree and make the next topics, over all documents in every round. Fitted
+are added up by a tree and make the next topics, over all documents in every round. Words that
+are frequent in every subject are left out before. Fitted
 topics are mapped to subjects by their top terms, against lists of terms inspected for
 each subject; a document gets the subjects of which its sentences' topics have the share.
 """
@@ -13,7 +14,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,11 @@ _PLAIN = re.compile("[\x09\x0a\x0d\x20-\x7e一-鿿。、，！？；：À-ÖØ-
 _LANG = {"yue": "zh", "cmn": "zh"}
 
 
+def inspected(group: str) -> dict[str, set[str]]:
+    """The inspected terms of each subject for one language group; all languages for 'other'."""
+    return {s: {w for lang, x in by.items() if group in (lang, "other") for w in x.split()} for s, by in INSPECTED.items()}
+
+
 def group_of(lang: str | None, han: int, words: list[str]) -> str:
     """The language group, by the text (its number of Chinese characters, its words) where it
     tells, else by the hint."""
@@ -175,13 +181,15 @@ def _tokenized(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, grp string, terms array<string>, dfs array<int>")
 
 
-def vocabularies(tokens: DataFrame, least: float, most: float) -> dict[str, list[str]]:
-    """The terms of each group that between ``least`` and ``most`` of its documents (and at least
-    three) hold; the VOCABULARY most frequent of those."""
+def vocabularies(tokens: DataFrame, least: float) -> dict[str, list[str]]:
+    """The terms of each group that at least ``least`` of its documents (and at least three) hold,
+    and its inspected terms, whatever their frequency; the VOCABULARY most frequent of those."""
     c = tokens.where("id is null").select("grp", F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy("grp", F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
     # "" counts the documents
     n = c.where("term = ''").select("grp", F.col("df").alias("n"))
-    kept = c.where("term <> ''").join(F.broadcast(n), "grp").where((F.col("df") >= F.greatest(F.lit(3), F.col("n") * least)) & (F.col("df") <= F.col("n") * most))
+    listed = tokens.sparkSession.createDataFrame([(g, w, True) for g in GROUPS for w in sorted(set().union(*inspected(g).values()))], "grp string, term string, listed boolean")
+    within = F.col("df") >= F.greatest(F.lit(3), F.col("n") * least)
+    kept = c.where("term <> ''").join(F.broadcast(n), "grp").join(F.broadcast(listed), ["grp", "term"], "left").where(within | F.col("listed"))
     best = kept.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("df"), "term"))).where(F.col("r") <= VOCABULARY)
     out: dict[str, list[str]] = {}
     for r in best.select("grp", "term").collect():
@@ -245,24 +253,23 @@ class Model:
         return theta, r
 
 
-def _batch(b: pa.RecordBatch, group: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(places of the group's rows, document and word of each token, sentence of each token)"""
+def _batch(b: pa.RecordBatch, group: str, dropped: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the group's rows, document and word of each token, sentence of each token),
+    without the tokens of ``dropped`` terms"""
     rows = np.flatnonzero(np.array(b.column(1).to_pylist()) == group)
     lists = b.column(2).take(pa.array(rows))
     flat = lists.flatten().to_numpy()
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     doc = np.repeat(np.arange(len(rows)), sizes)
     sentence = np.cumsum(flat == -1) - (flat == -1)
+    if dropped is not None:
+        kept = ~np.append(dropped, False)[flat]  # -1 is the end of a sentence
+        doc, flat, sentence = doc[kept], flat[kept], sentence[kept]
     return rows, doc, flat, sentence
 
 
-def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], free: int = 8, rounds: int = 12, steps: int = 2, settled: float = 0.1, seed: int = 42) -> dict[str, Model]:
-    """Topics of each group, fitted on all documents in ``rounds`` rounds at most, until no group's
-    topics move more than ``settled`` of their weight in a round, on average. A part of the table
-    hands on its expected counts (topics x terms, a fixed size); they are added up in two
-    levels, so that the driver receives about the square root of their number."""
-    spark = numbered.sparkSession
-    models = {g: Model.start(v, g, free, seed) for g, v in vocabulary.items() if v}
+def _sums(numbered: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> dict[str, np.ndarray]:
+    """What ``counts`` makes of each part (grp, float32 counts), added up by group in two levels."""
     parts = numbered.rdd.getNumPartitions()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,15 +281,68 @@ def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], free: int = 8, ro
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([a.tobytes() for a in total.values()], pa.binary())], ["grp", "counts"])
 
+    sums = numbered.mapInArrow(counts, "grp string, counts binary")
+    if parts > 64:
+        sums = sums.repartition(math.isqrt(parts)).mapInArrow(add, "grp string, counts binary")
+    total: dict[str, np.ndarray] = {}
+    for r in sums.toLocalIterator() if parts > 4096 else sums.collect():
+        a = np.frombuffer(bytes(r["counts"]), np.float32).astype(np.float64)
+        total[r["grp"]] = total[r["grp"]] + a if r["grp"] in total else a
+    return total
+
+
+def stop_words(numbered: DataFrame, vocabulary: dict[str, list[str]], most: float, telling: float = 2.0, sure: int = 3) -> dict[str, np.ndarray]:
+    """Which terms of each group are stop words: not inspected, in more than ``most`` of the
+    documents, and for no subject ``telling`` times as frequent in its documents (those with
+    ``sure`` of its inspected terms) as in the others. So a subject may be as frequent as it
+    likes and keeps its terms."""
+    subjects = sorted(INSPECTED)
+    listed = {g: [np.isin(v, sorted(inspected(g)[s])) for s in subjects] for g, v in vocabulary.items()}
+    shared = numbered.sparkSession.sparkContext.broadcast(listed)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # documents with each term: of each subject, and of all; the last column counts documents
+        total = {g: np.zeros((len(subjects) + 1, len(x[0]) + 1)) for g, x in shared.value.items()}
+        for b in batches:
+            for g, by in shared.value.items():
+                rows, doc, word, _ = _batch(b, g)
+                v = len(by[0])
+                pair = np.unique(doc[word >= 0] * v + word[word >= 0])
+                doc, word = pair // v, pair % v
+                for k, has in enumerate([*by, None]):
+                    of = np.bincount(doc[has[word]], minlength=len(rows)) >= sure if has is not None else np.ones(len(rows), bool)
+                    total[g][k, :v] += np.bincount(word[of[doc]], minlength=v)
+                    total[g][k, v] += of.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([a.astype(np.float32).tobytes() for a in total.values()], pa.binary())], ["grp", "counts"])
+
+    stop = {g: np.zeros(len(v), bool) for g, v in vocabulary.items()}
+    for g, c in _sums(numbered, count).items():
+        c = c.reshape(len(subjects) + 1, -1)
+        n, df = c[:, -1:], c[:, :-1]
+        inside = df[:-1] / np.maximum(1, n[:-1])
+        outside = (df[-1] - df[:-1]) / np.maximum(1, n[-1] - n[:-1])
+        tells = ((inside >= telling * outside) & (n[:-1] >= sure)).any(0)
+        stop[g] = (df[-1] > most * n[-1]) & ~tells & ~np.any(listed[g], axis=0)
+    return stop
+
+
+def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], stop: dict[str, np.ndarray], free: int = 8, rounds: int = 12, steps: int = 2, settled: float = 0.1, seed: int = 42) -> dict[str, Model]:
+    """Topics of each group, fitted on all documents in ``rounds`` rounds at most, until no group's
+    topics move more than ``settled`` of their weight in a round, on average. A part of the table
+    hands on its expected counts (topics x terms, a fixed size); they are added up in two
+    levels, so that the driver receives about the square root of their number."""
+    spark = numbered.sparkSession
+    models = {g: Model.start(v, g, free, seed) for g, v in vocabulary.items() if v}
+
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast({g: (m.phi, m.prior) for g, m in models.items()})
+        shared = spark.sparkContext.broadcast({g: (m.phi, m.prior, stop[g]) for g, m in models.items()})
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total: dict[str, np.ndarray] = {}
             for b in batches:
-                for g, plain in shared.value.items():
-                    m = Model(*plain)
-                    rows, doc, word, _ = _batch(b, g)
+                for g, (phi, prior, dropped) in shared.value.items():
+                    m = Model(phi, prior)
+                    rows, doc, word, _ = _batch(b, g, dropped)
                     doc, word = doc[word >= 0], word[word >= 0]
                     if not len(doc):
                         continue
@@ -293,13 +353,7 @@ def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], free: int = 8, ro
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([a.astype(np.float32).tobytes() for a in total.values()], pa.binary())], ["grp", "counts"])
 
-        sums = numbered.mapInArrow(expect, "grp string, counts binary")
-        if parts > 64:
-            sums = sums.repartition(math.isqrt(parts)).mapInArrow(add, "grp string, counts binary")
-        total: dict[str, np.ndarray] = {}
-        for r in sums.toLocalIterator() if parts > 4096 else sums.collect():
-            a = np.frombuffer(bytes(r["counts"]), np.float32).astype(np.float64)
-            total[r["grp"]] = total[r["grp"]] + a if r["grp"] in total else a
+        total = _sums(numbered, expect)
         moved = 0.0
         for g, s in total.items():
             s = s.reshape(models[g].phi.shape)
@@ -316,7 +370,7 @@ def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], free: int = 8, ro
 def topic_subjects(model: Model, words: list[str], group: str, top: int = 20, least: float = 0.2) -> list[str | None]:
     """The subject of each topic: the one to whose inspected terms most of the weight of its
     ``top`` most telling terms belongs, if that is at least ``least``; else None."""
-    listed = {s: {w for lang, x in by.items() if group in (lang, "other") for w in x.split()} for s, by in INSPECTED.items()}
+    listed = inspected(group)
     telling = model.phi * np.log(model.phi / model.phi.mean(0, keepdims=True) + 1e-9)
     out: list[str | None] = []
     for k in range(len(model.phi)):
@@ -332,26 +386,28 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     about; none for a document below it, or with a null, empty or blank text.
 
     A sentence is about a subject if one of its terms belongs, with a probability of ``sure``
-    under the document's topic shares, to topics of the subject. Ids are taken to be unique;
+    under the document's topic shares, to topics of the subject. Terms in more than ``most`` of
+    the documents are left out if they tell no subject (see :func:`stop_words`). Ids are taken to be unique;
     a repeated one is a document of its own.
     """
     spark = docs.sparkSession
     tokens, tokens_path = store(_tokenized(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint"), text_col, lang_col)), "terms")
-    vocabulary = vocabularies(tokens, least, most)
+    vocabulary = vocabularies(tokens, least)
     numbered, numbered_path = store(_numbered(tokens, vocabulary), "numbered")
     drop_path(spark, tokens_path)
-    models = fit(numbered, vocabulary, free, rounds, seed=seed)
+    stop = stop_words(numbered, vocabulary, most)
+    models = fit(numbered, vocabulary, stop, free, rounds, seed=seed)
     subjects = sorted(INSPECTED)
     mapped = {g: topic_subjects(m, vocabulary[g], g) for g, m in models.items()}
-    shared = spark.sparkContext.broadcast(({g: (m.phi, m.prior) for g, m in models.items()}, mapped))
+    shared = spark.sparkContext.broadcast(({g: (m.phi, m.prior, stop[g]) for g, m in models.items()}, mapped))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, mapped = shared.value
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for g, plain in models.items():
-                m = Model(*plain)
-                rows, doc, word, sentence = _batch(b, g)
+            for g, (phi, prior, dropped) in models.items():
+                m = Model(phi, prior)
+                rows, doc, word, sentence = _batch(b, g, dropped)
                 if not len(doc):
                     continue
                 to = np.zeros((len(m.phi), len(subjects)), np.float32)
