@@ -4,6 +4,7 @@ import math
 import random
 import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -336,3 +337,18 @@ def test_subject_of_a_third_of_the_corpus(spark):
         true = {x for x in want if x[1] == s}
         assert len(got & true) >= 0.95 * len(true), s
     assert len(got - want) <= 0.03 * len(want)
+
+
+def test_topics_are_fitted_in_all_rounds(spark):
+    r = np.random.default_rng(9)
+    words = sorted({*subjects.INSPECTED["law"]["en"].split(), *(f"word{i}" for i in range(40))})
+    docs = [r.choice(len(words), 30).tolist() for _ in range(60)]
+    numbered = spark.createDataFrame([(i, "en", d) for i, d in enumerate(docs)], "id bigint, grp string, ids array<int>")
+    got = subjects.fit(numbered, {"en": words}, {"en": np.zeros(len(words), bool)})["en"].phi
+    m = subjects.Model.start(words, "en", 8, 42)
+    doc, word = np.repeat(np.arange(60), 30), np.concatenate(docs)
+    for _ in range(12):
+        _, share = m.infer(doc, word, 60, 3)
+        s = np.stack([np.bincount(word, share[:, k], len(words)) for k in range(len(m.phi))]) + 0.01
+        m = subjects.Model((s / s.sum(1, keepdims=True)).astype(np.float32), m.prior)
+    assert np.abs(got - m.phi).max() < 1e-3

@@ -326,9 +326,8 @@ def stop_words(numbered: DataFrame, vocabulary: dict[str, list[str]], most: floa
     return stop
 
 
-def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], stop: dict[str, np.ndarray], free: int = 8, rounds: int = 12, steps: int = 2, settled: float = 0.1, seed: int = 42) -> dict[str, Model]:
-    """Topics of each group, fitted on all documents in ``rounds`` rounds at most, until no group's
-    topics move more than ``settled`` of their weight in a round, on average. A part of the table
+def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], stop: dict[str, np.ndarray], free: int = 8, rounds: int = 12, steps: int = 3, seed: int = 42) -> dict[str, Model]:
+    """Topics of each group, fitted on all documents in ``rounds`` rounds. A part of the table
     hands on its expected counts (topics x terms, a fixed size); they are added up in two
     levels, so that the driver receives about the square root of their number."""
     spark = numbered.sparkSession
@@ -354,16 +353,10 @@ def fit(numbered: DataFrame, vocabulary: dict[str, list[str]], stop: dict[str, n
                 yield pa.RecordBatch.from_arrays([pa.array(list(total)), pa.array([a.astype(np.float32).tobytes() for a in total.values()], pa.binary())], ["grp", "counts"])
 
         total = _sums(numbered, expect)
-        moved = 0.0
         for g, s in total.items():
-            s = s.reshape(models[g].phi.shape)
-            weight = s.sum(1) / s.sum()
-            phi = ((s + 0.01) / (s + 0.01).sum(1, keepdims=True)).astype(np.float32)
-            moved = max(moved, float((np.abs(phi - models[g].phi).sum(1) / 2 * weight).sum()))
-            models[g] = Model(phi, models[g].prior)
+            s = s.reshape(models[g].phi.shape) + 0.01
+            models[g] = Model((s / s.sum(1, keepdims=True)).astype(np.float32), models[g].prior)
         shared.unpersist()
-        if moved < settled:
-            break
     return models
 
 
