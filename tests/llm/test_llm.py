@@ -352,3 +352,13 @@ def test_topics_are_fitted_in_all_rounds(spark):
         s = np.stack([np.bincount(word, share[:, k], len(words)) for k in range(len(m.phi))]) + 0.01
         m = subjects.Model((s / s.sum(1, keepdims=True)).astype(np.float32), m.prior)
     assert np.abs(got - m.phi).max() < 1e-3
+
+
+def test_all_terms_within_the_bound_are_kept(spark):
+    rows = [("en", [f"word{k}" for k in range(5000)] + [f"rare{i}"] + (["subpoena"] if i == 0 else [])) for i in range(10)]
+    dfs = {}
+    for _, ts in rows:
+        for w in ts:
+            dfs[w] = dfs.get(w, 0) + 1
+    tokens = spark.createDataFrame([(None, "en", ["", *dfs], [len(rows), *dfs.values()])], "id bigint, grp string, terms array<string>, dfs array<int>")
+    assert subjects.vocabularies(tokens, 0.003) == {"en": sorted(["subpoena", *(f"word{k}" for k in range(5000))])}

@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.llm.leakage import _APOSTROPHE, _INVISIBLE, _MARK, _SPEAKER
@@ -79,9 +79,6 @@ INSPECTED = {
 }
 _STOP = {"en": {"the", "and", "was", "that", "with", "you", "is"}, "de": {"der", "die", "und", "ist", "das", "hat", "nach"}, "es": {"el", "la", "que", "por", "los", "en", "para"}}
 GROUPS = ("en", "de", "es", "zh", "other")
-#: Terms in each model, by document frequency within bounds; fixed, as topics and counts are
-#: sent around.
-VOCABULARY = 4096
 _TOKEN = re.compile("[㐀-䶿一-鿿豈-﫿]+|[.?!;,:…。，！？；：、\n]+|[^\\W_㐀-䶿一-鿿豈-﫿]+")
 # Texts of these characters need no normal form.
 _PLAIN = re.compile("[\x09\x0a\x0d\x20-\x7e一-鿿。、，！？；：À-ÖØ-öø-ÿ¿¡]*")
@@ -183,16 +180,16 @@ def _tokenized(docs: DataFrame) -> DataFrame:
 
 def vocabularies(tokens: DataFrame, least: float) -> dict[str, list[str]]:
     """The terms of each group that at least ``least`` of its documents (and at least three) hold,
-    and its inspected terms, whatever their frequency; the VOCABULARY most frequent of those."""
+    and its inspected terms, whatever their frequency. Topics and counts are sent around, but
+    stay bounded: by the terms of an average document over ``least``."""
     c = tokens.where("id is null").select("grp", F.explode(F.arrays_zip("terms", "dfs")).alias("x")).groupBy("grp", F.col("x.terms").alias("term")).agg(F.sum("x.dfs").alias("df"))
     # "" counts the documents
     n = c.where("term = ''").select("grp", F.col("df").alias("n"))
     listed = tokens.sparkSession.createDataFrame([(g, w, True) for g in GROUPS for w in sorted(set().union(*inspected(g).values()))], "grp string, term string, listed boolean")
     within = F.col("df") >= F.greatest(F.lit(3), F.col("n") * least)
     kept = c.where("term <> ''").join(F.broadcast(n), "grp").join(F.broadcast(listed), ["grp", "term"], "left").where(within | F.col("listed"))
-    best = kept.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("df"), "term"))).where(F.col("r") <= VOCABULARY)
     out: dict[str, list[str]] = {}
-    for r in best.select("grp", "term").collect():
+    for r in kept.select("grp", "term").collect():
         out.setdefault(r["grp"], []).append(r["term"])
     return {g: sorted(v) for g, v in out.items()}
 
