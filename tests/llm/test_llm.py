@@ -362,3 +362,15 @@ def test_all_terms_within_the_bound_are_kept(spark):
             dfs[w] = dfs.get(w, 0) + 1
     tokens = spark.createDataFrame([(None, "en", ["", *dfs], [len(rows), *dfs.values()])], "id bigint, grp string, terms array<string>, dfs array<int>")
     assert subjects.vocabularies(tokens, 0.003) == {"en": sorted(["subpoena", *(f"word{k}" for k in range(5000))])}
+
+
+def test_sentences_without_marks_and_labels():
+    def ends(text):
+        return subjects.terms(text, "en")[1].count("")
+
+    assert ends(" ".join(["word"] * 32)) == 1 and ends(" ".join(["word"] * 33)) == 3 and ends(" ".join(["word"] * 64)) == 4
+    # a pair across a division is kept
+    assert ends("好" * 32) == 1 and ends("好" * 64) == 4 and len(subjects.terms("好" * 64, None)[1]) == 63 + 4
+    # labels of speakers are no sentences, with or without brackets
+    assert subjects.terms("Speaker 1: the poster is near\nSpeaker 2: the kettle is old", "en")[1] == ["the", "poster", "near", "", "the", "kettle", "old", ""]
+    assert subjects.terms("说话人1：今天好\n说话人2：明天好", "zh")[1] == ["今天", "天好", "", "明天", "天好", ""]

@@ -105,44 +105,64 @@ def group_of(lang: str | None, han: int, words: list[str]) -> str:
     return hint if hint in GROUPS and hint != "zh" else "other"
 
 
+def _is_han(w: str) -> bool:
+    return "㐀" <= w[0] <= "鿿" or "豈" <= w[0] <= "\ufaff"
+
+
 def terms(text: str, lang: str | None, window: int = 16) -> tuple[str, list[str]]:
     """(group, terms with '' after each sentence). Terms are words of three letters or more, and
-    pairs of neighbouring Chinese characters. A sentence without marks ends after twice
-    ``window`` words or characters."""
+    pairs of neighbouring Chinese characters. A sentence of more than twice ``window`` words or
+    characters without marks is divided every ``window``."""
     if not text.isascii() and not _PLAIN.fullmatch(text):
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    if "[" in text or "(" in text:
-        text = _SPEAKER.sub(" ", _MARK.sub(" ", text))
+    if ":" in text or "：" in text:
+        text = _SPEAKER.sub(" ", _MARK.sub(" ", text.replace("：", ":")))
     out: list[str] = []
     words: list[str] = []
+    # runs of Chinese characters and words of the sentence at hand
+    runs: list[str] = []
     han = size = 0
+
+    def close() -> None:
+        place = end = 0
+        divided = size > 2 * window
+        for w in runs:
+            if not _is_han(w):
+                if divided and place >= end + window:
+                    end = place - place % window
+                    if out and out[-1]:
+                        out.append("")
+                place += 1
+                if len(w) > 2 and not w[0].isdigit():
+                    out.append(w)
+            elif not divided:
+                out.extend(map(str.__add__, w, w[1:]))
+            else:
+                for k in range(len(w)):
+                    if place >= end + window:
+                        end = place - place % window
+                        if out and out[-1]:
+                            out.append("")
+                    place += 1
+                    if k + 1 < len(w):
+                        out.append(w[k : k + 2])
+        if out and out[-1]:
+            out.append("")
+
     for w in _TOKEN.findall(_APOSTROPHE.sub("", text.lower())):
-        c = w[0]
-        if c >= "㐀" and c <= "﫿" and c not in "！，：；？":
+        if _is_han(w):
             han += len(w)
-            for lo in range(0, len(w), 2 * window) if len(w) > 2 * window else (0,):
-                if lo:
-                    out.append("")
-                    size = 0
-                part = w[lo : lo + 2 * window]
-                out += map(str.__add__, part, part[1:])
-            size += len(part)
-        elif c.isalnum():
+            size += len(w)
+            runs.append(w)
+        elif w[0].isalnum():
             words.append(w)
-            if len(w) > 2 and not c.isdigit():
-                out.append(w)
             size += 1
+            runs.append(w)
         else:
-            if out and out[-1]:
-                out.append("")
-            size = 0
-            continue
-        if size >= 2 * window:
-            if out and out[-1]:
-                out.append("")
+            close()
+            runs.clear()
             size = 0
-    if out and out[-1]:
-        out.append("")
+    close()
     return group_of(lang, han, words), out
 
 
