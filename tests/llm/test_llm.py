@@ -297,6 +297,27 @@ def test_leaks(spark):
     assert leakage.find_leaks(d.limit(0), items).count() == 0 and leakage.find_leaks(d, items.limit(0)).count() == 0
 
 
+def test_leaks_with_slips_near_the_edges_or_short_words(spark):
+    r = random.Random(12)
+    word = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    item, short = [word(6) for _ in range(40)], [word(3) for _ in range(40)]
+    han = "".join(chr(0x4E00 + x) for x in r.sample(range(3000), 60))
+    noise = lambda: [word(7) for _ in range(30)]
+
+    def changed(units, *at):
+        return [word(5) if i in at else u for i, u in enumerate(units)]
+
+    docs = [
+        changed(item[5:25], 1), changed(item[5:25], 18), changed(item[5:25], 2, 17), item[5:6] + item[7:26], item[5:6] + ["added"] + item[6:25], changed(short[5:25], 5, 10, 15),
+        list(changed(han[10:40], 1)), changed(item[5:24], 1), changed(item[5:25], 0), changed(item[5:25], 1, 3, 16, 18),
+    ]
+    d = spark.createDataFrame([(i, " ".join(noise() + x + noise())) for i, x in enumerate(docs)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short)), (3, han)], "item_id bigint, text string")
+    got = {tuple(x) for x in leakage.find_leaks(d, items).collect()}
+    # not: 19 words, 19 words after a changed one, four slips
+    assert got == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 3)}
+
+
 # ---- 9 ----
 def test_subjects(spark):
     r = random.Random(6)

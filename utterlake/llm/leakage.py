@@ -96,12 +96,13 @@ class Flat:
 class Items:
     """The index of a block of items."""
 
-    def __init__(self, ids: list[int], texts: list[list[str]], least_words: int, least_chars: int) -> None:
+    def __init__(self, ids: list[int], texts: list[list[str]], least_words: int, least_chars: int, slip: float) -> None:
         self.ids, self.flat = np.array(ids, np.int64), Flat.of(texts)
         f = self.flat
         self.number = {w: i for i, w in enumerate(dict.fromkeys(f.words))}
         self.unit = np.fromiter((self.number[w] for w in f.words), np.int64, len(f.words))
         place, h = f.grams()
+        grams = np.sort(place)
         order = np.argsort(h, kind="stable")
         self.place, h = place[order], h[order]
         self.hash, self.begin = np.unique(h, return_index=True)
@@ -113,6 +114,36 @@ class Items:
         self.han = (han[f.first_point[1:]] - han[f.first_point[:-1]]) * 2 > chars
         self.least = np.where(self.han, least_chars, least_words)
         self.longest = int(chars.max(initial=0))
+        # characters of the widest unit
+        self.widest = np.array([max(map(len, t), default=0) for t in texts], np.int64)
+        self.bound = self._bounds(grams, slip)
+
+    def _bounds(self, grams: np.ndarray, slip: float) -> np.ndarray:
+        """The q-gram lemma for each item's own letters: how many grams its shortest passages keep
+        at least when the units that touch most of them are changed."""
+        f = self.flat
+        ends = np.append(f.unit_start, len(f.points))
+        # a gram with a Chinese character has Q_HAN characters, another one Q_WORD
+        han = np.concatenate(([0], np.cumsum(_is_han(f.points))))
+        is_han = han[np.minimum(grams + Q_HAN, len(f.points))] > han[grams]
+        kinds = [(q, np.concatenate(([0], np.cumsum(np.bincount(g, minlength=len(f.points)))))) for q, g in ((Q_HAN, grams[is_han]), (Q_WORD, grams[~is_han]))]
+        touched = sum(n[ends[1:]] - n[np.maximum(0, ends[:-1] - q + 1)] for q, n in kinds)
+        out = np.empty(len(self.ids), np.int64)
+        for i, least in enumerate(self.least):
+            a, b = f.first_unit[i], f.first_unit[i + 1]
+            # the passages: from each unit to the first with which the length is reached
+            last = np.searchsorted(ends[: b + 1], ends[a:b] + least) if self.han[i] else np.arange(a, b) + least
+            first = np.arange(a, b)[last <= b]
+            last = last[last <= b]
+            if not len(first):
+                out[i] = np.iinfo(np.int64).max  # shorter than any passage
+                continue
+            whole = sum(np.maximum(0, n[np.maximum(ends[last] - q + 1, ends[first])] - n[ends[first]]) for q, n in kinds)
+            units = first[:, None] + np.arange((last - first).max())
+            cost = np.where(units < last[:, None], touched[np.minimum(units, len(touched) - 1)], 0)
+            slips = min(int(1.5 * slip * least), cost.shape[1])
+            out[i] = (whole - np.sort(cost, axis=1)[:, cost.shape[1] - slips :].sum(1)).min()
+        return out
 
 
 def _align(items: Items, unit_of_doc: np.ndarray, first: np.ndarray, end: np.ndarray, item: np.ndarray, shift: np.ndarray, half: int, miss: int) -> tuple[np.ndarray, ...]:
@@ -157,6 +188,51 @@ def _align(items: Items, unit_of_doc: np.ndarray, first: np.ndarray, end: np.nda
     return best >> 42, begun >> 30, at_i, (begun & ((1 << 30) - 1)) - 1, at_j
 
 
+def _edge(a: np.ndarray, b: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """For 0 to ``most`` slips, how many units of a and of b an alignment from their beginnings
+    takes that ends with a match; the longest in a."""
+    far = {0: 0}  # places by diagonal (place in b - place in a), as far as they get
+    out, best = [], (0, 0)
+    for e in range(most + 1):
+        if e:
+            new: dict[int, int] = {}
+            for k, x in far.items():
+                for k2, x2 in ((k, x + 1), (k + 1, x), (k - 1, x + 1)):
+                    if x2 <= len(a) and 0 <= x2 + k2 <= len(b):
+                        new[k2] = max(new.get(k2, -1), x2)
+            far = new
+        for k, x in far.items():
+            y = x
+            while y < len(a) and y + k < len(b) and a[y] == b[y + k]:
+                y += 1
+            if y > x and y > best[0]:
+                best = (y, y + k)
+            far[k] = y
+        out.append(best)
+    return out
+
+
+def _reaches(a: np.ndarray, starts: np.ndarray | None, b: np.ndarray, i0: int, i1: int, j0: int, j1: int, errors: float, least: int, rate: float) -> bool:
+    """Whether the passage a[i0:i1], found as b[j0:j1], reaches the length ``least`` when it is
+    carried on over slips at its edges to a further match, with at most ``rate`` errors a unit.
+    A slip that no match follows cannot be told from other text and does not count. With
+    ``starts``, first characters of the units, the length is that in characters."""
+    most = int(rate * (i1 - i0 + least) - errors)
+    if most < 1:
+        return False
+    margin = 4 * (least + most)
+    left = _edge(a[max(0, i0 - margin) : i0][::-1], b[max(0, j0 - margin) : j0][::-1], most)
+    right = _edge(a[i1 : i1 + margin], b[j1 : j1 + margin], most)
+    for e in range(most + 1):
+        for r in range(most + 1 - e):
+            first, last = i0 - left[e][0], i1 + right[r][0]
+            steps = max(last - first, j1 + right[r][1] - j0 + left[e][1])
+            length = last - first if starts is None else starts[last] - starts[first]
+            if length >= least and errors + e + r <= rate * steps:
+                return True
+    return False
+
+
 def _search(items: Items, texts: list[list[str]], slip: float, miss: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """(text, item) of every passage found."""
     none = np.empty(0, np.int64), np.empty(0, np.int64)
@@ -189,12 +265,7 @@ def _search(items: Items, texts: list[list[str]], slip: float, miss: int = 2) ->
     mean = (sums + np.where(follows, np.append(sums[1:], 0), 0)) / both
     pair = bands // slots
     it, d = pair % len(items.ids), pair // len(items.ids)
-    # the q-gram lemma for the shortest passage: about 4 letters a word; a changed word of
-    # 6 letters destroys 6 + q - 1 grams, a changed character q
-    least = items.least[it]
-    slips = np.floor(least * slip) + 1
-    bound = np.where(items.han[it], least - Q_HAN + 1 - Q_HAN * slips, least * 4 - Q_WORD + 1 - (Q_WORD + 5) * slips)
-    keep = both >= np.maximum(1, bound)
+    keep = both >= np.maximum(1, items.bound[it])
     # of bands in a row with the same hits the first is enough
     keep[1:] &= ~((bands[1:] == bands[:-1] + 1) & (both[1:] == hits[1:]) & keep[:-1])
     d, it, mean = d[keep], it[keep], np.rint(mean[keep]).astype(np.int64)
@@ -214,6 +285,18 @@ def _search(items: Items, texts: list[list[str]], slip: float, miss: int = 2) ->
         # score = matches - miss * errors over about ``steps`` units
         errors = (steps - score) / (1 + miss)
         ok = (span >= items.least[it[s]]) & (errors <= 1.5 * slip * steps)
+        # each slip at an edge takes up to ``miss`` units of the passage along; with the slips
+        # that the shortest passage may have, these could still reach its length. Carried on they
+        # are held to ``slip`` itself: beyond it phrases that many texts use begin to match
+        short = span < items.least[it[s]]
+        lost = np.floor(1.5 * slip * items.least[it[s]]) * (1 + miss)
+        units_short = np.where(items.han[it[s]], (items.least[it[s]] - span) / np.maximum(1, items.widest[it[s]]), items.least[it[s]] - span)
+        for x in np.flatnonzero(short & (score > 0) & (units_short <= lost)):
+            i, o = it[s][x], doc.first_unit[d[s][x]]
+            ok[x] = _reaches(
+                items.unit[f.first_unit[i] : f.first_unit[i + 1]], starts[f.first_unit[i] : f.first_unit[i + 1] + 1] if items.han[i] else None, own[o : doc.first_unit[d[s][x] + 1]],
+                i_from[x], i_to[x], j_from[x], j_to[x], float(errors[x]), int(items.least[i]), slip + 1e-9,
+            )
         found_d.append(d[s][ok])
         found_i.append(it[s][ok])
     pairs = np.unique(np.stack((np.concatenate(found_d), np.concatenate(found_i)), 1), axis=0)
@@ -223,7 +306,8 @@ def _search(items: Items, texts: list[list[str]], slip: float, miss: int = 2) ->
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least_words: int = 20, least_chars: int = 30, slip: float = 0.1) -> DataFrame:
     """(doc_id, item_id), distinct: documents holding a passage of the item of at least
     ``least_words`` words (``least_chars`` characters in Chinese) in the item's order, of which
-    about a ``slip``-th may be changed, added or dropped.
+    about a ``slip``-th may be changed, added or dropped. It begins and ends with units that are
+    the same in both.
 
     Case, punctuation, spacing, width and marks of time and speaker do not matter. Null, blank
     and too short texts match nothing; repeated documents or items count once by their ids.
@@ -250,7 +334,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_i
         shared = spark.sparkContext.broadcast((ids, texts))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Items(*shared.value, least_words, least_chars)
+            index = Items(*shared.value, least_words, least_chars, slip)
             for b in batches:
                 ids, part, size = b.column(0).to_numpy(zero_copy_only=False), [], 0
                 begin = 0
