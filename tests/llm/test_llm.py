@@ -58,6 +58,14 @@ def test_pii_names_are_bootstrapped(spark):
     assert set(range(54)) <= got and n - 2 in got and n - 1 not in got and not got & set(range(54, 254))
 
 
+def test_pii_unlisted_chinese_surnames(spark):
+    given = ["小明", "丽华", "建国", "志强"]
+    texts = [f"请找{s}先生谈谈" for s in "王李张陈"] + [f"请找{s}{g}谈谈" for s in "王李张陈" for g in given] + ["请找岑小明谈谈", "请找殷丽华谈谈"]
+    texts += ["请把杯子放好", "天气明天会好", "小狗很小", "他找杯子", "华丽的国家"] * 4
+    got = {x["row_id"] for x in pii.find_spans(spoken(spark, texts)).where("kind = 'name'").collect()}
+    assert set(range(22)) <= got and not got & set(range(22, len(texts)))
+
+
 def test_pii_fold_remembers_places():
     text = "ｗrite to а​nn@x.test"
     f = pii_scan.fold(text)

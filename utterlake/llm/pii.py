@@ -172,6 +172,8 @@ def _accepted(sure: float, held: float) -> Column:
         # characters of Chinese names also stand in names of places: one telling character is
         # enough, and in a known context a few occurrences in names
         .when(F.col("form") == "han", (F.least(s2, third) >= held / 10) & (F.col("held") | (F.greatest(s2, F.when(F.col("t3") == "", s2).otherwise(s3)) >= sure)))
+        # a first character that is no listed surname has to stand mostly at such places
+        .when(F.col("form") == "han_open", F.col("held") & (s1 >= sure) & (F.when(F.col("t2") == "", 1.0).otherwise(s2) >= held / 10) & (third >= held / 10))
         .otherwise(F.when(F.col("held"), F.least(s1, s2) >= held).otherwise(F.least(s1, s2) >= sure))
     )
 

@@ -156,6 +156,7 @@ ADDRESS_WIDE = re.compile(r"(?<![\w.])\d{1,4}[a-z]?\s+[A-Z][a-z]+\s+[A-Z][a-z]+"
 # ---- tokens ----
 TOKEN = re.compile(r"[㐀-䶿一-鿿]|[^\W\d_㐀-䶿一-鿿]+(?:['’-][^\W\d_㐀-䶿一-鿿]+)*|\d+|[^\w\s]|_")
 HAN_NAME_TITLE = re.compile(rf"(?P<sur>{'|'.join(DOUBLE_SURNAMES)}|[{''.join(sorted(SURNAMES))}])(?P<title>{HAN_TITLES})")
+_HAN_RUN, _HAN_TITLE, _HAN_TITLES = re.compile("[㐀-鿿]{2,}"), re.compile(HAN_TITLES), tuple(HAN_TITLES.split("|"))
 _TITLE_STARTS = frozenset(t[0] for t in HAN_TITLES.split("|"))
 HAN_SURNAME = re.compile(rf"{'|'.join(DOUBLE_SURNAMES)}|[{''.join(sorted(SURNAMES))}]")
 
@@ -524,6 +525,25 @@ def names(c: Context, known: Known | None) -> list[Mention]:
                     out.append(_mention(c, "han", a, b + 2, "", (m.group(), one, two), 4))
                 if hold or near or right_of[c.han_after(b + 1)]:
                     out.append(_mention(c, "han", a, b + 1, "", (m.group(), one), 4))
+            # other first characters, where the next ones stand in known names: a context or a
+            # title must point there, and the share of the first one in such places decides
+            for m in _HAN_RUN.finditer(c.text):
+                t, end = c.text, m.end()
+                for a in range(m.start(), end - 1):
+                    if t[a] in SURNAMES or t[a : a + 2] in DOUBLE_SURNAMES or not token[t[a + 1]]:
+                        continue
+                    # inside a name with a listed surname
+                    if a and (t[a - 1] in SURNAMES and token[t[a]] or t[a - 1 : a + 1] in DOUBLE_SURNAMES or a > 1 and t[a - 2 : a] in DOUBLE_SURNAMES):
+                        continue
+                    hold = left_of[c.han_before(a)]
+                    for b in (a + 3, a + 2):
+                        if b <= end and (b == a + 2 or token[t[a + 2]]) and (hold or right_of[c.han_after(b)] or t.startswith(_HAN_TITLES, b)):
+                            out.append(_mention(c, "han_open", a, b, "", tuple(t[a:b]), 4))
+                if _HAN_TITLE.search(t, m.start(), end):
+                    for x in _HAN_TITLE.finditer(t, m.start() + 1, end):
+                        a = x.start() - 1
+                        if t[a] not in SURNAMES and t[max(0, a - 1) : a + 1] not in DOUBLE_SURNAMES and token[t[a]]:
+                            out.append(_mention(c, "han_open", a, x.end(), "", (t[a],), 4))
     return out
 
 
