@@ -50,6 +50,17 @@ def _is_han(points: np.ndarray) -> np.ndarray:
     return ((points >= 0x3400) & (points <= 0x9FFF)) | ((points >= 0xF900) & (points <= 0xFAFF)) | ((points >= 0x20000) & (points <= 0x3134F))
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * np.uint64(0x9E3779B97F4A7C15) + b
+    return h ^ (h >> np.uint64(29))
+
+
+def _joined(a: np.ndarray, b: np.ndarray, apart: int) -> np.ndarray:
+    """Hashes of what stands at each place and ``apart`` places on."""
+    m = max(0, len(a) - apart)
+    return _mixed(a[:m], b[apart:])
+
+
 @dataclass
 class Flat:
     """Texts as one run of code points and one run of units."""
@@ -76,18 +87,21 @@ class Flat:
         """(place, hash) of every q-gram within one text."""
         n = len(self.points)
         han = np.concatenate(([0], np.cumsum(_is_han(self.points))))
+        # hashes of 4 characters by doubling; one of Q_HAN = 4 + 1 or Q_WORD = 4 + 4 + 4 is made of them
+        one = self.points.astype(np.uint64)
+        four = _joined(_joined(one, one, 1), _joined(one, one, 1), 2)
         places, hashes = [], []
         for q, want in ((Q_HAN, True), (Q_WORD, False)):
             if n < q:
                 continue
             m = n - q + 1
             at = np.flatnonzero((self.text_of[:m] == self.text_of[q - 1 :]) & ((han[q:] - han[:m] > 0) == want))
-            h = np.full(m, q, np.uint64)
-            for i in range(q):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + self.points[i : i + m].astype(np.uint64)
-                h ^= h >> np.uint64(29)
+            if q == Q_HAN:
+                h = _mixed(four[at], one[at + 4])
+            else:
+                h = _mixed(_mixed(four[at], four[at + 4]), four[at + 8])
             places.append(at)
-            hashes.append((h * np.uint64(0xBF58476D1CE4E5B9))[at])
+            hashes.append(h * np.uint64(0xBF58476D1CE4E5B9))
         if not places:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
         return np.concatenate(places), np.concatenate(hashes)
@@ -271,7 +285,11 @@ def _search(items: Items, texts: list[list[str]], slip: float, miss: int = 2) ->
     d, it, mean = d[keep], it[keep], np.rint(mean[keep]).astype(np.int64)
     if not len(d):
         return none
-    own = np.fromiter((items.number.get(w, -1) for w in doc.words), np.int64, len(doc.words))
+    # unit numbers of the documents that have candidates
+    own = np.full(len(doc.words), -1, np.int64)
+    for x in np.unique(d):
+        a, b = doc.first_unit[x], doc.first_unit[x + 1]
+        own[a:b] = [items.number.get(w, -1) for w in doc.words[a:b]]
     found_d, found_i = [], []
     for lo in range(0, len(d), 4096):
         s = slice(lo, lo + 4096)
