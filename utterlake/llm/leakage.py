@@ -26,6 +26,8 @@ BATCH_CHARS = 1_000_000
 # q-grams with a Chinese character, and others
 Q_HAN, Q_WORD = 5, 12
 BAND = 16
+#: Units by which the path of a passage may leave the diagonals of its hits.
+SLACK = 8
 
 _MARK = regex.compile(r"[\[(<]\s*\d{1,2}(?::\d{2}){1,2}(?:[.,]\d+)?\s*[\])>]|^\s*\d{1,2}(?::\d{2}){1,2}(?:[.,]\d+)?\s", regex.M)
 _SPEAKER = regex.compile(r"^\s*(?:[A-Z]|spk\s?\d+|speaker\s?\w{1,3}|sprecher\s?\w{1,3}|说话人\s?\w{1,3}|發言人\s?\w{1,3})\s*[:：]", regex.M | regex.I)
@@ -130,11 +132,12 @@ class Items:
         self.longest = int(chars.max(initial=0))
         # characters of the widest unit
         self.widest = np.array([max(map(len, t), default=0) for t in texts], np.int64)
-        self.bound = self._bounds(grams, slip)
+        self.bound, self.width = self._bounds(grams, slip)
 
-    def _bounds(self, grams: np.ndarray, slip: float) -> np.ndarray:
+    def _bounds(self, grams: np.ndarray, slip: float) -> tuple[np.ndarray, np.ndarray]:
         """The q-gram lemma for each item's own letters: how many grams its shortest passages keep
-        at least when the units that touch most of them are changed."""
+        at least when the units that touch most of them are changed, and the most characters
+        that one of these passages has."""
         f = self.flat
         ends = np.append(f.unit_start, len(f.points))
         # a gram with a Chinese character has Q_HAN characters, another one Q_WORD
@@ -142,7 +145,7 @@ class Items:
         is_han = han[np.minimum(grams + Q_HAN, len(f.points))] > han[grams]
         kinds = [(q, np.concatenate(([0], np.cumsum(np.bincount(g, minlength=len(f.points)))))) for q, g in ((Q_HAN, grams[is_han]), (Q_WORD, grams[~is_han]))]
         touched = sum(n[ends[1:]] - n[np.maximum(0, ends[:-1] - q + 1)] for q, n in kinds)
-        out = np.empty(len(self.ids), np.int64)
+        out, width = np.empty(len(self.ids), np.int64), np.zeros(len(self.ids), np.int64)
         for i, least in enumerate(self.least):
             a, b = f.first_unit[i], f.first_unit[i + 1]
             # the passages: from each unit to the first with which the length is reached
@@ -157,7 +160,8 @@ class Items:
             cost = np.where(units < last[:, None], touched[np.minimum(units, len(touched) - 1)], 0)
             slips = min(int(1.5 * slip * least), cost.shape[1])
             out[i] = (whole - np.sort(cost, axis=1)[:, cost.shape[1] - slips :].sum(1)).min()
-        return out
+            width[i] = (ends[last] - ends[first]).max()
+        return out, width
 
 
 def _align(items: Items, unit_of_doc: np.ndarray, first: np.ndarray, end: np.ndarray, item: np.ndarray, shift: np.ndarray, half: int, miss: int) -> tuple[np.ndarray, ...]:
@@ -270,57 +274,88 @@ def _search(items: Items, texts: list[list[str]], slip: float, miss: int = 2) ->
     slots = int(diagonal.max()) // BAND + 3
     key = (d * len(items.ids) + it) * slots + diagonal // BAND
     order = np.argsort(key, kind="stable")
-    key, shift = key[order], shift[order]
+    key, shift, theirs = key[order], shift[order], theirs[order]
     bands, begin, hits = np.unique(key, return_index=True, return_counts=True)
-    sums = np.add.reduceat(shift, begin)
     # overlapping bands: each with the next one
     follows = np.append(bands[1:] == bands[:-1] + 1, False)
     both = hits + np.where(follows, np.append(hits[1:], 0), 0)
-    mean = (sums + np.where(follows, np.append(sums[1:], 0), 0)) / both
     pair = bands // slots
-    it, d = pair % len(items.ids), pair // len(items.ids)
-    keep = both >= np.maximum(1, items.bound[it])
+    least = np.maximum(1, items.bound[pair % len(items.ids)])
+    keep = both >= least
     # of bands in a row with the same hits the first is enough
     keep[1:] &= ~((bands[1:] == bands[:-1] + 1) & (both[1:] == hits[1:]) & keep[:-1])
-    d, it, mean = d[keep], it[keep], np.rint(mean[keep]).astype(np.int64)
-    if not len(d):
+    # the hits of retained bands, by their places in the item: a passage leaves that many within
+    # the width of one passage, where hits from all over the item can be more
+    kept = np.flatnonzero(keep)
+    begin, both, least, pair = begin[kept], both[kept], least[kept], pair[kept]
+    first = np.cumsum(both) - both
+    band = np.repeat(np.arange(len(kept)), both)
+    hit = np.repeat(begin - first, both) + np.arange(both.sum())
+    order = np.lexsort((theirs[hit], band))
+    hit = hit[order]
+    at = np.arange(len(hit)) + least[band] - 1
+    inside = at < (first + both)[band]
+    at[~inside] = 0
+    inside &= theirs[hit[at]] - theirs[hit] <= items.width[pair % len(items.ids)][band]
+    keep = np.bincount(band[inside], minlength=len(kept)) > 0
+    if not keep.any():
         return none
+    # the diagonals of units from the least to the greatest of each band's hits
+    low = np.minimum.reduceat(shift[hit], first)[keep]
+    high = np.maximum.reduceat(shift[hit], first)[keep]
+    d, it, mean, strong = pair[keep] // len(items.ids), pair[keep] % len(items.ids), (low + high) // 2, both[keep]
+    # with what slips may move the path, in steps of 8, so that bands of like width go together
+    half = ((high - low + 1) // 2 + SLACK + 7) // 8 * 8
     # unit numbers of the documents that have candidates
     own = np.full(len(doc.words), -1, np.int64)
     for x in np.unique(d):
         a, b = doc.first_unit[x], doc.first_unit[x + 1]
         own[a:b] = [items.number.get(w, -1) for w in doc.words[a:b]]
+    # the strongest band of each pair first; the others only where it holds no passage
+    order = np.lexsort((-strong, it, d))
+    new = np.append(True, (d[order][1:] != d[order][:-1]) | (it[order][1:] != it[order][:-1]))
+    found = np.zeros(0, np.int64)
     found_d, found_i = [], []
-    for lo in range(0, len(d), 4096):
-        s = slice(lo, lo + 4096)
-        score, i_from, i_to, j_from, j_to = _align(items, own, doc.first_unit[d[s]], doc.first_unit[d[s] + 1], it[s], mean[s], 24, miss)
-        f = items.flat
-        i0 = f.first_unit[it[s]]
-        starts = np.append(f.unit_start, len(f.points))
-        chars = starts[i0 + i_to] - starts[i0 + i_from]
-        span = np.where(items.han[it[s]], chars, i_to - i_from)
-        steps = np.maximum(i_to - i_from, j_to - j_from)
-        # score = matches - miss * errors over about ``steps`` units
-        errors = (steps - score) / (1 + miss)
-        ok = (span >= items.least[it[s]]) & (errors <= 1.5 * slip * steps)
-        # each slip at an edge takes up to ``miss`` units of the passage along; with the slips
-        # that the shortest passage may have, these could still reach its length. Carried on they
-        # are held to ``slip`` itself: beyond it phrases that many texts use begin to match
-        short = span < items.least[it[s]]
-        lost = np.floor(1.5 * slip * items.least[it[s]]) * (1 + miss)
-        units_short = np.where(items.han[it[s]], (items.least[it[s]] - span) / np.maximum(1, items.widest[it[s]]), items.least[it[s]] - span)
-        for x in np.flatnonzero(short & (score > 0) & (units_short <= lost)):
-            i, o = it[s][x], doc.first_unit[d[s][x]]
-            ok[x] = _reaches(
-                items.unit[f.first_unit[i] : f.first_unit[i + 1]], starts[f.first_unit[i] : f.first_unit[i + 1] + 1] if items.han[i] else None, own[o : doc.first_unit[d[s][x] + 1]],
-                i_from[x], i_to[x], j_from[x], j_to[x], float(errors[x]), int(items.least[i]), slip + 1e-9,
-            )
-        found_d.append(d[s][ok])
-        found_i.append(it[s][ok])
+    for turn in (order[new], order[~new]):
+        turn = turn[~np.isin(d[turn] * len(items.ids) + it[turn], found)]
+        for w in np.unique(half[turn]):
+            of = turn[half[turn] == w]
+            for lo in range(0, len(of), 4096):
+                ok = _holds(items, doc, own, d[of[lo : lo + 4096]], it[of[lo : lo + 4096]], mean[of[lo : lo + 4096]], int(w), slip, miss)
+                found_d.append(d[of[lo : lo + 4096]][ok])
+                found_i.append(it[of[lo : lo + 4096]][ok])
+        found = np.concatenate(found_d) * len(items.ids) + np.concatenate(found_i) if found_d else found
     pairs = np.unique(np.stack((np.concatenate(found_d), np.concatenate(found_i)), 1), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
+def _holds(items: Items, doc: Flat, own: np.ndarray, d: np.ndarray, it: np.ndarray, mean: np.ndarray, half: int, slip: float, miss: int) -> np.ndarray:
+    """Whether the band of each (document, item) holds a passage."""
+    score, i_from, i_to, j_from, j_to = _align(items, own, doc.first_unit[d], doc.first_unit[d + 1], it, mean, half, miss)
+    f = items.flat
+    i0 = f.first_unit[it]
+    starts = np.append(f.unit_start, len(f.points))
+    chars = starts[i0 + i_to] - starts[i0 + i_from]
+    span = np.where(items.han[it], chars, i_to - i_from)
+    steps = np.maximum(i_to - i_from, j_to - j_from)
+    # score = matches - miss * errors over about ``steps`` units
+    errors = (steps - score) / (1 + miss)
+    least = items.least[it]
+    ok = (span >= least) & (errors <= 1.5 * slip * steps)
+    # each slip at an edge takes up to ``miss`` units of the passage along; with the slips
+    # that the shortest passage may have, these could still reach its length. Carried on they
+    # are held to ``slip`` itself: beyond it phrases that many texts use begin to match
+    lost = np.floor(1.5 * slip * least) * (1 + miss)
+    units_short = np.where(items.han[it], (least - span) / np.maximum(1, items.widest[it]), least - span)
+    for x in np.flatnonzero((span < least) & (score > 0) & (units_short <= lost)):
+        i, o = it[x], doc.first_unit[d[x]]
+        ok[x] = _reaches(
+            items.unit[f.first_unit[i] : f.first_unit[i + 1]], starts[f.first_unit[i] : f.first_unit[i + 1] + 1] if items.han[i] else None, own[o : doc.first_unit[d[x] + 1]],
+            i_from[x], i_to[x], j_from[x], j_to[x], float(errors[x]), int(least[x]), slip + 1e-9,
+        )
+    return ok
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", least_words: int = 20, least_chars: int = 30, slip: float = 0.1) -> DataFrame:
     """(doc_id, item_id), distinct: documents holding a passage of the item of at least
     ``least_words`` words (``least_chars`` characters in Chinese) in the item's order, of which
