@@ -123,17 +123,28 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _subjects(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """documents, labels and the names of the subjects."""
+    names = [r["subject"] for r in table(spark, d, "subjects").select("subject").distinct().collect()]
+    return table(spark, d, "documents"), table(spark, d, "subject_labels"), names
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.assign(table(spark, d, "documents")).select("doc_id", "subject").distinct()
+    return subjects.assign(*_subjects(spark, d)).select("doc_id", "subject").distinct()
 
 
 def p9_makeup(spark: SparkSession, d: str) -> DataFrame:
     """The make-up of the corpus by subject: documents and their sources."""
     docs = table(spark, d, "documents")
-    found = subjects.assign(docs).select("doc_id", "subject").distinct()
+    found = subjects.assign(*_subjects(spark, d)).select("doc_id", "subject").distinct()
     return found.join(docs.select("doc_id", "source"), "doc_id").groupBy("subject", "source").agg(F.count(F.lit(1)).alias("documents"))
 
 
+def p9_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The fitted topics, their subjects and the top terms inspected for them."""
+    return spark.createDataFrame(subjects.topics(subjects.model(*_subjects(spark, d))), "grp string, topic int, subject string, weight double, terms string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
