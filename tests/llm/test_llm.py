@@ -186,7 +186,7 @@ def rank(values, k, steps):
 
 
 def test_percentiles(spark, monkeypatch):
-    monkeypatch.setattr(percentiles, "SORTED_AT_ONCE", 20)
+    monkeypatch.setattr(percentiles, "FEW", 20)
     r = random.Random(2)
     groups = {"a": [r.lognormvariate(3, 2) for _ in range(900)], "b": [float(r.randrange(4)) for _ in range(300)], "c": [5.0] * 70, "d": [1.0], None: [2.0, 1.0], "i": [float("-inf"), 0.0, float("inf")]}
     rows = [(g, v) for g, vs in groups.items() for v in vs] + [("a", None), ("b", float("nan")), ("e", None)]
@@ -196,6 +196,24 @@ def test_percentiles(spark, monkeypatch):
     assert percentiles.grids(df.limit(0), ["range"], "value").count() == 0
 
 
+def test_percentiles_of_infinities_and_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(percentiles, "FEW", 3)
+    r = random.Random(12)
+    inf = float("inf")
+    groups = {i: [r.choice([-inf, inf, -0.0, 0.0, float(r.randrange(30)), r.random()]) for _ in range(r.randrange(1, 40))] for i in range(150)}
+    groups[500] = [-inf] * 50 + [inf] * 50
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, v double").repartition(160)
+    shuffle = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "150")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(x["g"], x["step"]): (x["n"], x["value"]) for x in percentiles.grids(df, ["g"], "v", 4).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {(g, k): (len(vs), rank(vs, k, 4)) for g, vs in groups.items() for k in range(5)}
+
+
 def test_combined_percentiles_are_bounded(spark):
     r = random.Random(3)
     days = {f"d{i}": [r.gauss(i, 1 + i) for _ in range(100 + 37 * i)] for i in range(6)}

@@ -25,6 +25,7 @@ def delivered_once(df: DataFrame, key: str, *columns: str) -> DataFrame:
 
 
 def hash_unit(*cols: Column, seed: int = 42) -> Column:
-    """A number in [0, 1) that depends on the values and the seed alone."""
-    h = F.xxhash64(F.lit(seed), *cols)
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+    """A number in [0, 1) that depends on the values and the seed alone, the same in every engine:
+    the first 52 bits of the md5 of seed and values, joined by dashes (nulls are skipped)."""
+    h = F.md5(F.concat_ws("-", F.lit(str(seed)), *[c.cast("string") for c in cols]))
+    return F.conv(F.substring(h, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))

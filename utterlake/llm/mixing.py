@@ -63,7 +63,7 @@ def rates(sizes: DataFrame, entries: DataFrame, strict: bool = False) -> DataFra
         s = s.withColumn("_total", F.sum("size").over(cfg))
         s = s.withColumn("_used", F.coalesce(F.sum(F.col("max_repeat") * F.col("size")).over(before), F.lit(0.0)))
         s = s.withColumn("_left", 1.0 - F.coalesce(F.sum("target_share").over(before), F.lit(0.0)))
-        level = (F.col("_total") - F.col("_used")) / F.col("_left")
+        level = (F.col("_total") - F.col("_used")) / F.nullif(F.col("_left"), F.lit(0.0))
         s = s.withColumn("_held", F.when(F.col("target_share") > 0, level >= F.col("_reach")).otherwise(False))
         # held sources come first; the level of the first that isn't holds for all after it
         s = s.withColumn("_level", F.min(F.when(~F.col("_held") & (F.col("target_share") > 0), F.struct("_reach", "source", level.alias("x")))).over(cfg)["x"])

@@ -2,9 +2,9 @@
 
 Every round, the parts of the table propose the local median of each open range, the
 weighted median of the proposals becomes the range's pivot, values are counted below, at
-and above it, ranges that hold no wanted rank are discarded, and the rest go on. A range
-that has become small is sorted. The result is exact for each group; grids of ranks from
-several days or partitions combine with a bounded error.
+and above it, ranges that hold no wanted rank are discarded, and the rest go on until every
+rank is found. A range of a few values is read off in order. The result is exact for each
+group; grids of ranks from several days or partitions combine with a bounded error.
 """
 
 from __future__ import annotations
@@ -18,78 +18,89 @@ from pyspark.sql import functions as F
 
 from utterlake.session import drop_path, store
 
-#: A range of at most so many values is sorted in one task.
-SORTED_AT_ONCE = 8192
-#: Pivots of at most so many ranges are broadcast (24 bytes each); more are joined.
-BROADCAST_RANGES = 100_000
+#: A range of at most so many different values is read off in order instead of split again.
+FEW = 256
 
 
 def _proposals(values: DataFrame) -> DataFrame:
-    """(range, median, n) of each range in each batch of each part."""
+    """(grp, part, median, n): the lower median of each range in each batch of each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r, v = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(r):
+            g, p, v, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(g):
                 continue
-            order = np.lexsort((v, r))
-            r, v = r[order], v[order]
-            ids, begin, n = np.unique(r, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(v[begin + (n - 1) // 2]), pa.array(n)], ["range", "median", "n"])
+            order = np.lexsort((v, p, g))
+            g, p, v, n = g[order], p[order], v[order], n[order]
+            begin = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (p[1:] != p[:-1])))
+            total = np.add.reduceat(n, begin)
+            upto = np.cumsum(n)
+            # the first value at which half of the range's are passed
+            at = np.searchsorted(upto, upto[begin] - n[begin] + (total + 1) // 2)
+            yield pa.RecordBatch.from_arrays([pa.array(g[begin]), pa.array(p[begin]), pa.array(v[at]), pa.array(total)], ["grp", "part", "median", "n"])
 
-    return values.select("range", "value").mapInArrow(run, "range bigint, median double, n bigint")
+    return values.select("grp", "part", "value", "n").mapInArrow(run, "grp bigint, part int, median double, n bigint")
 
 
 def select_ranks(values: DataFrame, targets: DataFrame) -> DataFrame:
-    """(range, rank, value): the ``rank``-th smallest value (from 1) of each range.
-
-    ``values``: range bigint, value double, without nulls and NaN. ``targets``: range bigint,
-    rank bigint; a rank must lie within the range's count, others have no row. Ties share
-    their value. A range with most of the values is not gathered anywhere: only its
-    medians, counts, and finally at most SORTED_AT_ONCE values are.
+    """(grp, wanted, value): the ``wanted``-th smallest value (from 1) of each group.
+
+    ``values``: grp bigint, value double, n bigint (how often the value comes), one row per
+    value, without nulls and NaN; infinities are values. ``targets``: grp bigint, wanted
+    bigint; a rank must lie within the group's count, others have no row. Ties share their
+    value. Of a range with most of the values only its medians, counts, and at last at most
+    FEW values come together in one task. The open ranges of a group are numbered anew in
+    each round; there are no more of them than ranks wanted from it.
     """
     spark = values.sparkSession
-    paths: list[str] = []
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        out, p = store(df, name, keep=False)
-        paths.append(p)
-        return out
-
-    open_ = keep(targets.select(F.col("range").alias("origin"), F.col("rank").alias("wanted"), "range", "rank").distinct(), "targets")
-    # ranges get new numbers as they are split: (range, side) -> 2 * number + side
-    values = keep(values.select("range", "value"), "values")
-    sizes = keep(values.groupBy("range").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    done: list[DataFrame] = []
+    range_ = ["grp", "part"]
+    first, path = store(values.select("grp", F.lit(0).alias("part"), "value", "n"), "values", keep=False)
+    paths = [path]
+    sizes = first.groupBy(*range_).agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("different"))
+    # wanted: the rank in the group; rank: in the range
+    open_ = targets.distinct().select("grp", "wanted", F.lit(0).alias("part"), F.col("wanted").alias("rank")).join(sizes, range_).where("rank between 1 and size")
+    open_, path = store(open_.drop("size"), "targets", keep=False)
+    paths.append(path)
+    values, done, left = first, [], None
     while True:
-        open_ = open_.join(sizes, "range").where("rank between 1 and n")
-        small = open_.where(F.col("n") <= SORTED_AT_ONCE).drop("n")
-        large = open_.where(F.col("n") > SORTED_AT_ONCE).drop("n")
-        # the sorted values of a small range, once for all its ranks
-        lists = values.join(small.select("range").distinct(), "range", "left_semi").groupBy("range").agg(F.sort_array(F.collect_list("value")).alias("all"))
-        done.append(keep(small.join(lists, "range").select("origin", "wanted", F.element_at("all", F.col("rank").cast("int")).alias("value")), "found"))
-        count = large.select("range").distinct().count()
-        if not count:
+        few = F.col("different") <= FEW
+        order = Window.partitionBy(*range_).orderBy("value")
+        lists = values.join(open_.where(few).select(*range_).distinct(), range_, "left_semi").withColumn("upto", F.sum("n").over(order))
+        told = lists.join(open_.where(few).select("grp", "part", "wanted", "rank"), range_).where("rank <= upto and rank > upto - n").select("grp", "wanted", "value")
+        told, path = store(told, "found", keep=False)
+        done.append(told)
+        paths.append(path)
+        going = open_.where(~few)
+        now = going.select(*range_, "different").distinct().agg(F.sum("different")).first()[0]
+        if now is None:
             break
-        near = F.broadcast if count <= BROADCAST_RANGES else (lambda x: x)
-        going = values.join(near(large.select("range").distinct()), "range", "left_semi")
-        pivots = keep(_proposals(going).groupBy("range").agg(F.expr("percentile(median, 0.5D, n)").alias("pivot")), "pivots")
-        sided = keep(going.join(near(pivots), "range").select("range", F.when(F.col("value") < F.col("pivot"), -1).when(F.col("value") > F.col("pivot"), 1).otherwise(0).alias("side"), "value"), "sided")
-        counts = sided.groupBy("range", "side").agg(F.count(F.lit(1)).alias("n"))
-        wide = counts.groupBy("range").agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(c) for s, c in ((-1, "below"), (0, "at"), (1, "above"))])
-        wide = keep(wide.join(pivots, "range"), "counts")
-        told = large.join(wide, "range")
-        hit = (F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("at"))
-        done.append(keep(told.where(hit).select("origin", "wanted", F.col("pivot").alias("value")), "found"))
-        lower = F.col("rank") <= F.col("below")
-        open_ = keep(told.where(~hit).select("origin", "wanted", F.when(lower, F.col("range") * 2).otherwise(F.col("range") * 2 + 1).alias("range"), F.when(lower, F.col("rank")).otherwise(F.col("rank") - F.col("below") - F.col("at")).alias("rank")), "targets")
-        split = sided.where("side <> 0").select((F.col("range") * 2 + (F.col("side") > 0).cast("int")).alias("range"), "value")
-        values = split.join(near(open_.select("range").distinct()), "range", "left_semi")
-        sizes = wide.select(F.explode(F.array(F.struct((F.col("range") * 2).alias("range"), F.col("below").alias("n")), F.struct((F.col("range") * 2 + 1).alias("range"), F.col("above").alias("n")))).alias("x")).select("x.range", "x.n").where("n > 0")
+        if left is not None and now >= left:
+            raise RuntimeError("a round of the multi-select has discarded nothing")
+        left = now
+        values = values.join(going.select(*range_).distinct(), range_, "left_semi")
+        # the weighted median of the proposals: the first at which half of the values are passed
+        proposed = _proposals(values).groupBy(*range_, "median").agg(F.sum("n").alias("n"))
+        proposed = proposed.withColumn("upto", F.sum("n").over(Window.partitionBy(*range_).orderBy("median"))).withColumn("total", F.sum("n").over(Window.partitionBy(*range_)))
+        pivots, path = store(proposed.where("2 * upto >= total").groupBy(*range_).agg(F.min("median").alias("pivot")), "pivots", keep=False)
+        paths.append(path)
+        side = F.when(F.col("value") < F.col("pivot"), -1).when(F.col("value") > F.col("pivot"), 1).otherwise(0)
+        sided, path = store(values.join(pivots, range_).select(*range_, side.alias("side"), "value", "n"), "sided", keep=False)
+        paths.append(path)
+        count = lambda s, c: F.coalesce(F.sum(F.when(F.col("side") == s, c)), F.lit(0))
+        wide = sided.groupBy(*range_).agg(count(-1, F.col("n")).alias("below"), count(0, F.col("n")).alias("at"), count(-1, F.lit(1)).alias("lower"), count(1, F.lit(1)).alias("upper"))
+        ranked = going.join(wide.join(pivots, range_), range_).drop("different")
+        ranked = ranked.withColumn("side", F.when(F.col("rank") <= F.col("below"), -1).when(F.col("rank") > F.col("below") + F.col("at"), 1).otherwise(0))
+        ranked = ranked.withColumn("new", (F.dense_rank().over(Window.partitionBy("grp").orderBy("part", "side")) - 1).cast("int"))
+        ranked, path = store(ranked, "ranked", keep=False)
+        paths.append(path)
+        done.append(ranked.where("side = 0").select("grp", "wanted", F.col("pivot").alias("value")))
+        on = ranked.where("side <> 0")
+        values = sided.join(on.select("grp", "part", "side", "new").distinct(), ["grp", "part", "side"]).select("grp", F.col("new").alias("part"), "value", "n")
+        open_ = on.select("grp", "wanted", F.col("new").alias("part"), F.when(F.col("side") < 0, F.col("rank")).otherwise(F.col("rank") - F.col("below") - F.col("at")).alias("rank"), F.when(F.col("side") < 0, F.col("lower")).otherwise(F.col("upper")).alias("different"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    out, _ = store(out.select(F.col("origin").alias("range"), F.col("wanted").alias("rank"), "value"), "percentiles")
+    out, _ = store(out, "percentiles")
     for p in paths:
         drop_path(spark, p)
     return out
@@ -106,16 +117,17 @@ def grids(df: DataFrame, by: list[str], value: str, steps: int = 100) -> DataFra
     if not by:
         raise ValueError("grids needs a grouping column; use a constant for one group")
     v = F.col(value).cast("double")
-    named = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
-    sizes = named.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    # ids are dense enough to double each round: 2**20 groups leave room for 43 rounds
-    groups, path = store(sizes.withColumn("range", F.row_number().over(Window.orderBy(F.xxhash64(*by), *by)).cast("bigint")) if sizes.count() < 1 << 20 else sizes.withColumn("range", F.monotonically_increasing_id() % (1 << 40) + 1), "groups")
-    match = named.alias("a").join(groups.alias("g"), [F.col(f"a.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by])
-    values = match.select("g.range", F.col("a._v").alias("value"))
+    # equal values once, with their number
+    counted, counted_path = store(df.where(v.isNotNull() & ~F.isnan(v)).select(*by, (v + F.lit(0.0)).alias("_v")).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n")), "counted", keep=False)
+    # a group's number is fixed once the table is written
+    groups, path = store(counted.groupBy(*by).agg(F.sum("_n").alias("n")).withColumn("grp", F.monotonically_increasing_id()), "groups")
+    match = counted.alias("a").join(groups.alias("g"), [F.col(f"a.{c}").eqNullSafe(F.col(f"g.{c}")) for c in by])
+    values = match.select("g.grp", F.col("a._v").alias("value"), F.col("a._n").alias("n"))
     step = F.explode(F.sequence(F.lit(0), F.lit(steps)))
-    ranks = groups.select("*", step.alias("step")).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("step") * F.col("n") / F.lit(steps))).cast("bigint"))
-    found = select_ranks(values, ranks.select("range", "rank"))
-    return ranks.join(found, ["range", "rank"]).select(*by, "n", "step", "value")
+    ranks = groups.select("*", step.alias("step")).withColumn("wanted", F.greatest(F.lit(1), F.ceil(F.col("step") * F.col("n") / F.lit(steps))).cast("bigint"))
+    found = select_ranks(values, ranks.select("grp", "wanted"))
+    drop_path(df.sparkSession, counted_path)
+    return ranks.join(found, ["grp", "wanted"]).select(*by, "n", "step", "value")
 
 
 def combine(parts: DataFrame, by: list[str], percents: list[int], part_cols: list[str]) -> DataFrame:

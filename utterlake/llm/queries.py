@@ -55,6 +55,11 @@ def p3_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(groups, targets, "sample_id")
 
 
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares that the splits reached."""
+    return splits.split_shares(p3_splits(spark, d), table(spark, d, "split_targets")).withColumn("reached", F.round("reached", 9))
+
+
 METRICS = ("first_token_latency_ms", "last_token_latency_ms", "cer")
 
 
@@ -92,7 +97,8 @@ def p5_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     docs, rated = _rated(spark, d)
-    return mixing.shares(mixing.mix(docs, rated, "sample_id"), rated)
+    out = mixing.shares(mixing.mix(docs, rated, "sample_id"), rated)
+    return out.select("config_id", "source", "size", *[F.round(c, 9).alias(c) for c in ("target_share", "rate", "reached_share")], "documents", "tokens")
 
 
 def p5_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -161,10 +167,47 @@ _CORPUS = r"list_last(string_split(regexp_replace(regexp_replace(lower(trim(trai
 _SIZES = r"SELECT source, CAST(sum(t) AS DOUBLE) AS size FROM (SELECT DISTINCT sample_id, lower(source) AS source, len(regexp_extract_all(coalesce(previous_transcript, ''), '{0}')) + len(regexp_extract_all(coalesce(continuation_transcript, ''), '{0}')) AS t FROM data_synthesize WHERE split = 'train' AND source IS NOT NULL AND sample_id IS NOT NULL) GROUP BY source".format(r"[㐀-䶿一-鿿]|[^\s\p{P}㐀-䶿一-鿿]+")
 
 
+_ONCE = "SELECT DISTINCT sample_id, lower(source) AS source, {0} AS tokens FROM data_synthesize WHERE split = 'train' AND source IS NOT NULL AND sample_id IS NOT NULL".format(" + ".join(f"len(regexp_extract_all(coalesce({c}, ''), '[㐀-䶿一-鿿]|[^\\s\\p{{P}}㐀-䶿一-鿿]+'))" for c in ("previous_transcript", "continuation_transcript")))
+_ENTRIES = f"SELECT config_id, source, sum(weight) AS weight, max(max_repeat) AS max_repeat FROM (SELECT DISTINCT config_id, entry_no, {_CORPUS} AS source, CAST(coalesce(weight, 1) AS DOUBLE) AS weight, CAST(coalesce(max_repeat, 1) AS DOUBLE) AS max_repeat FROM training_qwen2audio) WHERE weight > 0 AND source IS NOT NULL GROUP BY config_id, source"
+# how far the total goes until a source is used up, and what is left for those after
+_REACH = f"SELECT *, CASE WHEN target_share > 0 THEN max_repeat * size / target_share END AS reach FROM (SELECT *, CASE WHEN size > 0 THEN weight ELSE 0 END / sum(CASE WHEN size > 0 THEN weight ELSE 0 END) OVER (PARTITION BY config_id) AS target_share FROM (SELECT e.*, coalesce(z.size, 0) AS size FROM ({_ENTRIES}) e LEFT JOIN ({_SIZES}) z ON e.source = z.source))"
+_LEVEL = f"SELECT *, (total - used) / nullif(lacking, 0) AS level FROM (SELECT *, sum(size) OVER (PARTITION BY config_id) AS total, coalesce(sum(max_repeat * size) OVER w, 0) AS used, 1.0::DOUBLE - coalesce(sum(target_share) OVER w, 0) AS lacking FROM ({_REACH}) WINDOW w AS (PARTITION BY config_id ORDER BY reach NULLS LAST, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+_HELD = f"SELECT *, coalesce(target_share > 0 AND level >= reach, false) AS held FROM ({_LEVEL})"
+_RATES = f"SELECT h.config_id, h.source, h.size, h.target_share, h.max_repeat, CASE WHEN h.size > 0 THEN least(coalesce(CASE WHEN held THEN max_repeat ELSE target_share * l.level / size END, 0), max_repeat) ELSE 0 END AS rate FROM ({_HELD}) h LEFT JOIN (SELECT config_id, arg_min(level, struct_pack(a := reach, b := source)) AS level FROM ({_HELD}) WHERE NOT held AND target_share > 0 GROUP BY config_id) l ON h.config_id = l.config_id"
+
+
+def _unit(*parts: str) -> str:
+    return "CAST('0x' || substr(md5(concat_ws('-', '42', {0})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE".format(", ".join(f"CAST({x} AS VARCHAR)" for x in parts))
+
+
+_MIXED = f"SELECT config_id, source, sample_id, tokens, CAST(unnest(range(1, CAST(n AS BIGINT) + 1)) AS INTEGER) AS copy FROM (SELECT r.config_id, r.source, d.sample_id, d.tokens, least(floor(rate) + CASE WHEN {_unit('r.config_id', 'd.sample_id')} < rate - floor(rate) THEN 1 ELSE 0 END, floor(max_repeat)) AS n FROM ({_ONCE}) d JOIN ({_RATES}) r ON d.source = r.source WHERE rate > 0)"
+_SHARED = f"SELECT r.config_id, r.source, r.size, round(target_share, 9) AS target_share, round(rate, 9) AS rate, coalesce(documents, 0) AS documents, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, round(coalesce(coalesce(tokens, 0) / nullif(sum(coalesce(tokens, 0)) OVER (PARTITION BY r.config_id), 0), 0), 9) AS reached_share FROM ({_RATES}) r LEFT JOIN (SELECT config_id, source, count(*) AS documents, sum(tokens) AS tokens FROM ({_MIXED}) GROUP BY config_id, source) m ON r.config_id = m.config_id AND r.source = m.source"
+
+# session and speaker of a path; the regular expressions of this engine have no look-around
+_PATH = r"TRY_CAST(regexp_extract(lower(url_decode(audio_path)), '(?s)^.*(?:^|[^a-z]){0}[\s_\-]*0*([0-9]{{1,18}})(?:[^0-9]|$)', 1) AS BIGINT)"
+_NODES = f"SELECT DISTINCT sample_id, {_PATH.format('ses(?:sion)?')} AS session, {_PATH.format('sp(?:ea)?k(?:er)?')} AS speaker FROM data_synthesize WHERE sample_id IS NOT NULL"
+_LINKS = f"SELECT DISTINCT coalesce(session, speaker + {1 << 61}) AS a, coalesce(speaker + {1 << 61}, session) AS b FROM ({_NODES}) WHERE session IS NOT NULL OR speaker IS NOT NULL"
+# every node with the least one that reaches it: reachability is closed over the few nodes
+_COMPONENTS = f"SELECT node, min(other) AS component FROM (WITH RECURSIVE links AS (SELECT a, b FROM ({_LINKS}) UNION SELECT b, a FROM ({_LINKS})), reach(node, other) AS (SELECT a, a FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a) SELECT * FROM reach) GROUP BY node"
+_GROUPED = f"SELECT n.sample_id, min(CASE WHEN c.component >= {1 << 61} THEN -(c.component - {1 << 61}) - 1 ELSE c.component END) AS group_id FROM ({_NODES}) n LEFT JOIN ({_COMPONENTS}) c ON coalesce(n.session, n.speaker + {1 << 61}) = c.node GROUP BY n.sample_id"
+_CUTS = "SELECT split_name, share, sum(share) OVER (ORDER BY split_name) / sum(share) OVER () AS upto FROM split_targets WHERE share > 0"
+_SPLIT = f"SELECT sample_id, group_id, (SELECT coalesce(min(split_name) FILTER (WHERE u < upto), max(split_name)) FROM ({_CUTS})) AS split FROM (SELECT *, {_unit('coalesce(CAST(group_id AS VARCHAR), chr(114) || sample_id)')} AS u FROM ({_GROUPED}))"
+
+_DAYS = f"SELECT key, metric, n, place, value FROM ({_RANKED}) WHERE part = 'day'"
+_GRID = f"SELECT substr(r.key, 1, 7) AS month, r.metric, r.value, (s.i * r.n + 99) // 100 - ((s.i - 1) * r.n + 99) // 100 AS w FROM ({_DAYS}) r, (SELECT unnest(range(1, 101)) AS i) s WHERE r.place = greatest(1, (s.i * r.n + 99) // 100)"
+_POINTS = f"SELECT month, metric, value, w, CAST(sum(w) OVER (PARTITION BY month, metric ORDER BY value) AS BIGINT) AS upto, CAST(sum(w) OVER (PARTITION BY month, metric) AS BIGINT) AS n FROM (SELECT month, metric, value, sum(w) AS w FROM ({_GRID}) GROUP BY month, metric, value)"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express at all on whole tables; the other operators are tested
     against brute force."""
     return {
+        "p3_found": f"SELECT g.sample_id, g.group_id FROM ({_GROUPED}) g SEMI JOIN (SELECT sample_id FROM data_synthesize WHERE audio_path IS NOT NULL) s ON g.sample_id = s.sample_id",
+        "p3_splits": _SPLIT,
+        "p3_shares": f"SELECT t.split_name, t.share, coalesce(records, 0) AS records, round(coalesce(records, 0) / sum(coalesce(records, 0)) OVER (), 9) AS reached FROM split_targets t LEFT JOIN (SELECT split, count(*) AS records FROM ({_SPLIT}) GROUP BY split) s ON t.split_name = s.split",
         "p4_percentiles": f"SELECT r.part, r.key, r.metric, r.n, CAST(s.i AS INTEGER) AS percent, r.value FROM ({_RANKED}) r, (SELECT unnest(range(101)) AS i) s WHERE r.place = greatest(1, (s.i * r.n + 99) // 100)",
-        "p5_targets": f"SELECT config_id, source, size, round(CASE WHEN size > 0 THEN weight ELSE 0 END / sum(CASE WHEN size > 0 THEN weight ELSE 0 END) OVER (PARTITION BY config_id), 9) AS target_share FROM (SELECT e.config_id, e.source, coalesce(z.size, 0) AS size, e.weight FROM (SELECT config_id, source, CAST(sum(weight) AS DOUBLE) AS weight FROM (SELECT DISTINCT config_id, entry_no, {_CORPUS} AS source, coalesce(weight, 1) AS weight, max_repeat FROM training_qwen2audio) WHERE weight > 0 GROUP BY config_id, source) e LEFT JOIN ({_SIZES}) z ON e.source = z.source)",
+        "p4_combined": f"SELECT month, metric, n, CAST(q.percent AS INTEGER) AS percent, value FROM ({_POINTS}) p, (SELECT unnest([5, 25, 50, 75, 90, 95, 99]) AS percent) q WHERE upto >= greatest(1, (q.percent * n + 99) // 100) AND upto - w < greatest(1, (q.percent * n + 99) // 100)",
+        "p5_mixture": _MIXED,
+        "p5_shares": _SHARED,
+        "p5_targets": f"SELECT config_id, source, size, round(target_share, 9) AS target_share FROM ({_RATES})",
     }

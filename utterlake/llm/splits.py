@@ -96,34 +96,54 @@ def group_records(df: DataFrame, id_col: str, path_col: str) -> DataFrame:
     return keyed.join(comp, "node", "left").groupBy("_id").agg(F.min(group).alias("group_id")).withColumnRenamed("_id", id_col)
 
 
-def assign_splits(groups: DataFrame, targets: list[tuple[str, float]], id_col: str, seed: int = 42, large: float = 0.001) -> DataFrame:
+def assign_splits(groups: DataFrame, targets: list[tuple[str, float]], id_col: str, seed: int = 42, earlier: DataFrame | None = None, large: float | None = None) -> DataFrame:
     """(id, group_id, split) with shares near ``targets`` [(name, share)].
 
-    The hash of the group falls into one of the ranges that the shares cut out of [0, 1).
-    Groups that hold more than ``large`` of all records would distort this; there are
-    fewer than 1/large of those (what is broadcast), and they are placed first, largest first, each into the
-    split that lacks most. The ranges for the others follow what is then still wanted.
+    The hash of the group falls into one of the ranges that the shares cut out of [0, 1), so
+    a group's split depends on nothing but its id and the targets: added data move none.
+    ``earlier`` (group_id, split), an assignment made before, is kept for the groups it names.
     Records without a group stand for themselves. Shares are scaled to sum 1; targets
-    without a positive share get nothing; without any there is a ValueError.
+    without a positive share get nothing; without any there is a ValueError. What is reached
+    is reported by :func:`split_shares`.
+
+    With ``large`` the groups of more than this part of all records (fewer than 1/large), which
+    distort the shares most, are placed first instead, each into the split that lacks most, and
+    the ranges for the others follow what is then wanted. That depends on the data: store the
+    assignment and hand it back as ``earlier`` when they grow.
     """
     names = sorted((n, float(s)) for n, s in targets if n is not None and s is not None and s > 0)
     if not names:
         raise ValueError("no split has a positive share")
     whole = sum(s for _, s in names)
-    total = groups.count()
-    sizes = groups.where("group_id is not null").groupBy("group_id").count()
-    big = sizes.where(F.col("count") > F.lit(large * total)).orderBy(F.desc("count"), "group_id").collect()
-    want = {n: s / whole * total for n, s in names}
-    placed = {}
-    for r in big:
-        to = max(names, key=lambda x: (want[x[0]], x[0]))[0]
-        placed[r["group_id"]] = to
-        want[to] -= r["count"]
-    rest = {n: max(0.0, w) for n, w in want.items()}
-    left = sum(rest.values()) or 1.0
+    want = {n: s / whole for n, s in names}
+    known = None if earlier is None else earlier.where("group_id is not null and split is not null").groupBy("group_id").agg(F.min("split").alias("_fixed"))
+    if large is not None:
+        total = groups.count()
+        sizes = groups.where("group_id is not null").groupBy("group_id").count()
+        if known is not None:
+            sizes = sizes.join(known, "group_id", "left_anti")
+        placed = {}
+        for r in sizes.where(F.col("count") > F.lit(large * total)).orderBy(F.desc("count"), "group_id").collect():
+            to = max(want, key=lambda n: (want[n], n))
+            placed[r["group_id"]] = to
+            want[to] -= r["count"] / total
+        want = {n: max(0.0, w) for n, w in want.items()}
+        fixed = groups.sparkSession.createDataFrame(list(placed.items()), f"group_id {groups.schema['group_id'].dataType.simpleString()}, _fixed string")
+        known = fixed if known is None else known.unionByName(fixed)
+    left = sum(want.values()) or 1.0
     u = hash_unit(F.coalesce(F.col("group_id").cast("string"), F.concat(F.lit("r"), F.col(id_col).cast("string"))), seed=seed)
     split = F.lit(names[-1][0])
     for i in range(len(names) - 2, -1, -1):
-        split = F.when(u < sum(rest[n] for n, _ in names[: i + 1]) / left, names[i][0]).otherwise(split)
-    fixed = groups.sparkSession.createDataFrame([(g, n) for g, n in placed.items()], f"group_id {groups.schema['group_id'].dataType.simpleString()}, _fixed string")
-    return groups.select(id_col, "group_id").join(F.broadcast(fixed), "group_id", "left").select(id_col, "group_id", F.coalesce("_fixed", split).alias("split"))
+        split = F.when(u < sum(want[n] for n, _ in names[: i + 1]) / left, names[i][0]).otherwise(split)
+    out = groups.select(id_col, "group_id")
+    out = out.withColumn("_fixed", F.lit(None).cast("string")) if known is None else out.join(known, "group_id", "left")
+    return out.select(id_col, "group_id", F.coalesce("_fixed", split).alias("split"))
+
+
+def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:
+    """(split_name, share, records, reached): what each split of ``targets`` (split_name, share)
+    got, and its part of all records."""
+    got = assigned.groupBy(F.col("split").alias("split_name")).agg(F.count(F.lit(1)).alias("records"))
+    whole = got.agg(F.sum("records").alias("_all"))
+    out = targets.join(got, "split_name", "left").fillna(0, ["records"]).crossJoin(F.broadcast(whole))  # one row
+    return out.select("split_name", "share", "records", F.coalesce(F.col("records") / F.col("_all"), F.lit(0.0)).alias("reached"))
