@@ -171,12 +171,41 @@ def test_groups_and_splits(spark):
     got = {x["id"]: x["group_id"] for x in splits.group_records(df, "id", "p").collect()}
     assert got == {0: 5, 1: 5, 2: 9, 3: 5, 4: None, 5: None, 6: -10}
     many = spark.range(3000).select("id", F.when(F.col("id") < 900, 1).otherwise(F.col("id")).cast("bigint").alias("group_id"))
-    s = splits.assign_splits(many, [("train", 0.8), ("test", 0.1), ("validation", 0.1)], "id")
-    share = {x["split"]: x["count"] / 3000 for x in s.groupBy("split").count().collect()}
+    targets = [("train", 0.8), ("test", 0.1), ("validation", 0.1)]
+
+    def shares(**options):
+        s = splits.assign_splits(many, targets, "id", **options)
+        assert s.where("group_id = 1").select("split").distinct().count() == 1
+        return {x["split"]: x["count"] / 3000 for x in s.groupBy("split").count().collect()}
+
+    # the group of 30 % falls where its hash does; placed first it takes its part of a split
+    share = shares()
+    assert abs(share["test"] - 0.07) < 0.02 and abs(share["validation"] - 0.07) < 0.02
+    share = shares(large=0.001)
     assert abs(share["train"] - 0.8) < 0.03 and abs(share["test"] - 0.1) < 0.03
-    assert s.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    reached = splits.split_shares(splits.assign_splits(many, targets, "id"), spark.createDataFrame([*targets, ("spare", 0.0)], "split_name string, share double"))
+    assert {x["split_name"]: x["reached"] for x in reached.collect()} == {**shares(), "spare": 0.0}
     with pytest.raises(ValueError):
-        splits.assign_splits(many, [("train", 0.0)], "id")
+        splits.assign_splits(many, [("a", 0.0), (None, 1.0)], "id")
+    assert splits.assign_splits(many.limit(0), [("a", 1.0)], "id").count() == 0
+
+
+def test_added_rows_move_no_group(spark):
+    some = spark.range(500).select("id", (F.col("id") % 90).alias("group_id"))
+    more = spark.range(9000).select("id", F.when(F.col("id") < 500, F.col("id") % 90).when(F.col("id") < 4000, 3).otherwise(F.col("id") % 2000).alias("group_id"))
+    targets = [("train", 0.8), ("test", 0.1), ("validation", 0.1)]
+
+    def placed(df, **options):
+        rows = splits.assign_splits(df, targets, "id", **options).select("group_id", "split").distinct().collect()
+        assert len(rows) == len({x["group_id"] for x in rows})
+        return {x["group_id"]: x["split"] for x in rows}
+
+    before, after = placed(some), placed(more)
+    assert before == {g: after[g] for g in before}
+    # with large groups placed first, an earlier assignment is handed back
+    first = placed(some, large=0.001)
+    table = spark.createDataFrame(list(first.items()), "group_id bigint, split string")
+    assert first == {g: s for g, s in placed(more, large=0.001, earlier=table).items() if g in first}
 
 
 # ---- 4 ----

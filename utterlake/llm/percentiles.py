@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from utterlake.session import drop_path, store
 
 #: A range of at most so many different values is read off in order instead of split again.
-FEW = 256
+FEW = 1024
 
 
 def _proposals(values: DataFrame) -> DataFrame:
@@ -55,7 +55,8 @@ def select_ranks(values: DataFrame, targets: DataFrame) -> DataFrame:
     spark = values.sparkSession
     range_ = ["grp", "part"]
     first, path = store(values.select("grp", F.lit(0).alias("part"), "value", "n"), "values", keep=False)
-    paths = [path]
+    # the last table of values, and the small ones
+    held, paths = path, []
     sizes = first.groupBy(*range_).agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("different"))
     # wanted: the rank in the group; rank: in the range
     open_ = targets.distinct().select("grp", "wanted", F.lit(0).alias("part"), F.col("wanted").alias("rank")).join(sizes, range_).where("rank between 1 and size")
@@ -85,7 +86,8 @@ def select_ranks(values: DataFrame, targets: DataFrame) -> DataFrame:
         paths.append(path)
         side = F.when(F.col("value") < F.col("pivot"), -1).when(F.col("value") > F.col("pivot"), 1).otherwise(0)
         sided, path = store(values.join(pivots, range_).select(*range_, side.alias("side"), "value", "n"), "sided", keep=False)
-        paths.append(path)
+        drop_path(spark, held)
+        held = path
         count = lambda s, c: F.coalesce(F.sum(F.when(F.col("side") == s, c)), F.lit(0))
         wide = sided.groupBy(*range_).agg(count(-1, F.col("n")).alias("below"), count(0, F.col("n")).alias("at"), count(-1, F.lit(1)).alias("lower"), count(1, F.lit(1)).alias("upper"))
         ranked = going.join(wide.join(pivots, range_), range_).drop("different")
@@ -101,7 +103,7 @@ def select_ranks(values: DataFrame, targets: DataFrame) -> DataFrame:
     for d in done[1:]:
         out = out.unionByName(d)
     out, _ = store(out, "percentiles")
-    for p in paths:
+    for p in [held, *paths]:
         drop_path(spark, p)
     return out
 
