@@ -53,3 +53,15 @@ def test_summary(spark):
 def test_references_last_wins(spark):
     df = spark.createDataFrame([("/x/a.wav", "one"), ("/y/a.wav", "two"), ("/z/b.wav", ""), (None, "t")], "p string, t string")
     assert {r["file"]: r["text"] for r in evaluate.references(df, "p", "t").where(F.col("file").isNotNull()).collect()} == {"a.wav": "two", "a": "two"}
+
+
+def test_token_rate_of_very_many_tokens(spark):
+    n = 3000
+    rows = [([f"t{i}" for i in range(n)], [f"t{i}" for i in range(0, n, 2)])]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    assert M.with_token_rate(df, "a", "b", "r").first()["r"] == 0.5
+    # places around the surrogates and U+FEFF keep tokens apart
+    text = M._as_text(F.array(F.lit("x"), F.lit("y")), F.concat(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.lit("-")), F.array(F.lit("x"), F.lit("y"))))
+    d = spark.createDataFrame([(k,) for k in (1, 0xD6FF, 0xD700, 0xF5FE, 0xF5FF, 0x20000)], "n int")
+    got = [r[0] for r in d.select(text.alias("t")).collect()]
+    assert all(len(t) == 2 and t[0] != t[1] and "\ufeff" not in t for t in got)

@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from utterlake.functions import pcm
 from utterlake.functions import text as T
 
 ALPHABET = list("abcXYZ 019.,!$%^-é中文啊两萬幺，。？\t　ñ𠀀") + ["<|x|>", "�"]
@@ -113,3 +114,38 @@ def test_delta_and_names(spark):
     df = spark.createDataFrame([("abcd", "ab"), ("abcd", "x"), ("ab", "ab")], "f string, p string")
     assert [r[0] for r in df.select(T.text_delta(F.col("f"), F.col("p"))).collect()] == ["cd", "abcd", ""]
     assert column(spark, ["yue", "xx", None, "auto"], T.language_name) == ["Cantonese", None, None, None]
+
+
+def test_delta_after_a_common_block(spark):
+    df = spark.createDataFrame([("abcdef", "abc"), ("xbcdef", "abcd"), ("zz", "abc"), (None, "a"), ("a", None)], "f string, p string")
+    assert [r[0] for r in df.select(T.text_delta(F.col("f"), F.col("p"), common=True)).collect()] == ["def", "ef", "zz", None, None]
+    assert [r[0] for r in df.select(T.text_delta(F.col("f"), F.col("p"))).collect()][1] == "xbcdef"
+
+
+def test_script_table(spark):
+    df = spark.createDataFrame([("頭髮發展",), (None,), ("",)], "s string")
+    phrases = {"頭髮": "头发", "發": "发", "頭": "头"}
+    assert [r[0] for r in df.select(T.convert_script(F.col("s"), phrases)).collect()] == ["头发发展", None, ""]
+    assert df.select(T.convert_script(F.col("s"))).first()[0] == "頭髮發展"
+    lang = spark.createDataFrame([("發", "zh"), ("發", "yue"), ("發", None)], "s string, l string")
+    assert [r[0] for r in lang.select(T.normalize_utterance(F.col("s"), F.col("l"), {"zh": {"發": "发"}})).collect()] == ["发", "發", "發"]
+
+
+def test_packets(spark):
+    df = spark.createDataFrame([("h\u00e9llo\nmore",), ("",)], "s string")
+    got = [[bytes(x) for x in r[0]] for r in df.select(T.line_packets(F.col("s"), 4, pad=True)).collect()]
+    assert got == [[b"h\xc3\xa9l", b"lo\n\0"], [b"\n\0\0\0"]]
+    assert [bytes(x) for x in df.select(T.line_packets(F.col("s"), 4)).first()[0]] == [b"h\xc3\xa9l", b"lo\n"]
+    p = spark.createDataFrame([(b"ab\xff\ncd\0",), (b"x\0y\nz",), (b"",)], "b binary")
+    assert [r[0] for r in p.select(T.packet_line(F.col("b"))).collect()] == ["ab\ufffd", "x", ""]
+
+
+def test_candidates_to_display(spark):
+    df = spark.createDataFrame([(["a\ufffd\ufffd", "\ufffdb", " ", None, "\ufffd"],), ([" "],), ([],), (None,)], "c array<string>")
+    assert [r[0] for r in df.select(T.display_candidates(F.col("c"))).collect()] == [["a", "\ufffdb"], None, None, None]
+
+
+def test_soft_prefix(spark):
+    pieces = [b"ab", "\u00e9".encode()[:1], "\u00e9".encode()[1:], b"c", b"d"]
+    df = spark.createDataFrame([(pieces, k) for k in (0, 1, 2, 3, 4, 9)], "p array<binary>, k int")
+    assert [r[0] for r in df.select(pcm.soft_prefix(F.col("p"), F.col("k"))).collect()] == ["abécd", "abéc", "abé", "ab", "ab", ""]

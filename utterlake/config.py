@@ -21,6 +21,19 @@ def load(values: Mapping[str, object], cls: type = SynthesisConfig):
     return cls(**values)
 
 
+def load_file(path: str, cls: type = SynthesisConfig):
+    """The settings of a YAML file (or JSON, which is YAML); an empty file gives the defaults."""
+    try:
+        import yaml
+    except ImportError:  # JSON alone is read then
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            return load(json.load(f), cls)
+    with open(path, encoding="utf-8") as f:
+        return load(yaml.safe_load(f) or {}, cls)
+
+
 def with_arguments(config, argv: list[str]):
     """``config`` with the options of the command line, which win over the file."""
     p = argparse.ArgumentParser()

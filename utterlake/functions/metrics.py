@@ -11,9 +11,9 @@ from pyspark.sql.types import IntegerType
 
 from utterlake.functions import text as T
 
-#: Characters that stand for tokens, so that the JVM's edit distance of strings counts tokens; a
-#: pair of texts with more distinct tokens has no token rate.
-ALPHABET = "".join(chr(i) for i in range(0x100, 0x1A000) if not 0xD800 <= i <= 0xDFFF)
+#: Most distinct tokens of a pair of texts: as many as there are code points from 256 on, without
+#: surrogates and U+FEFF.
+MOST_TOKENS = 0x110000 - 0x100 - 0x801
 
 
 def cer(reference: Column, hypothesis: Column, hint: Column) -> Column:
@@ -29,17 +29,25 @@ def rate(ref: Column, hyp: Column) -> Column:
     return F.when(n == 0, F.when(F.length(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(ref, hyp) / n)
 
 
+def _as_text(tokens: Column, known: Column) -> Column:
+    """Each token as the character numbered by its place among the ``known`` ones."""
+    place = lambda t: F.array_position(known, t) + 0xFF
+    # past the surrogates, and past U+FEFF, which a decoder drops where it comes first
+    point = lambda t: place(t) + F.when(place(t) >= 0xFEFF - 0x800, 0x801).when(place(t) >= 0xD800, 0x800).otherwise(0)
+    return F.decode(F.unhex(F.array_join(F.transform(tokens, lambda t: F.lpad(F.hex(point(t)), 8, "0")), "")), "UTF-32")
+
+
 def with_token_rate(df: DataFrame, ref: str, hyp: str, out: str) -> DataFrame:
     """``df`` with ``out``: edits by tokens over the number of reference tokens, of two columns of
-    token lists. Each distinct token of a pair becomes one character, so this stays in the
-    JVM; every step is a column of its own, so that it is evaluated once a row."""
+    token lists. Each distinct token of a pair becomes one character, so that the JVM's edit
+    distance of strings counts tokens; every step is a column of its own, so that it is
+    evaluated once a row. A pair of more than MOST_TOKENS distinct tokens is an error."""
     d = df.withColumn("_known", F.array_distinct(F.concat(ref, hyp)))
     for c in (ref, hyp):
-        place = lambda t: F.array_position(F.col("_known"), t).cast("int")
-        d = d.withColumn(f"_{c}_text", F.array_join(F.transform(c, lambda t: F.substring(F.lit(ALPHABET), place(t), 1)), ""))
-    d = d.withColumn("_many", F.size("_known") > len(ALPHABET))
-    rate_ = F.when(F.col("_many"), F.lit(None)).when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(f"_{ref}_text", f"_{hyp}_text") / F.size(ref))
-    return d.withColumn(out, rate_).drop("_known", "_many", f"_{ref}_text", f"_{hyp}_text")
+        d = d.withColumn(f"_{c}_text", _as_text(F.col(c), F.col("_known")))
+    edits = F.when(F.size("_known") > MOST_TOKENS, F.raise_error(F.lit("too many distinct tokens"))).otherwise(F.levenshtein(f"_{ref}_text", f"_{hyp}_text"))
+    rate_ = F.when(F.size(ref) == 0, F.when(F.size(hyp) == 0, 0.0).otherwise(1.0)).otherwise(edits / F.size(ref))
+    return d.withColumn(out, rate_).drop("_known", f"_{ref}_text", f"_{hyp}_text")
 
 
 def with_mer(df: DataFrame, reference: str, hypothesis: str, hint: str, out: str = "mer") -> DataFrame:
@@ -71,3 +79,43 @@ def prefix_end(previous: str, reference: str) -> int:
 def align_prefix(previous: pd.Series, reference: pd.Series) -> pd.Series:
     """prefix_end for columns; quadratic in the lengths, where nested expressions are cubic."""
     return pd.Series([prefix_end(a or "", b or "") for a, b in zip(previous, reference)], dtype="int32")
+
+
+def given(c: str) -> Column:
+    """A measured value: null where it is null, NaN or zero (which marks a missing one)."""
+    return F.when((F.col(c) != 0) & ~F.isnan(c), F.col(c))
+
+
+def latency_means(df: DataFrame, by: list[str], first: str, last: str) -> DataFrame:
+    """(by.., files, average_first, average_last): means over the measured values."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("files"), F.avg(given(first)).alias("average_first"), F.avg(given(last)).alias("average_last"))
+
+
+def latency_spread(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by.., least, median, greatest) of values that are neither null nor NaN."""
+    d = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    return d.groupBy(*by).agg(F.min(value).alias("least"), F.median(value).alias("median"), F.max(value).alias("greatest"))
+
+
+def first_and_last(df: DataFrame, by: list[str], order: str, first: str, last: str) -> DataFrame:
+    """(by.., first, last): the ``first`` of the least and the ``last`` of the greatest place, of rows
+    where both are neither null nor NaN."""
+    ok = [F.col(c).isNotNull() & ~F.isnan(c) for c in (first, last)]
+    return df.where(ok[0] & ok[1]).groupBy(*by).agg(F.min_by(first, order).alias("first"), F.max_by(last, order).alias("last"))
+
+
+def percent(c: Column) -> Column:
+    return c * 100
+
+
+def milliseconds(seconds: Column) -> Column:
+    """Null for null and for 0, which marks a missing measurement."""
+    return F.when(seconds != 0, seconds * 1000)
+
+
+def masked_loss(log_probs: Column, labels: Column, ignore: int = -100) -> Column:
+    """Mean of -log p over the labels that are not ``ignore``, where log_probs[i] is that of labels[i + 1]
+    (each place predicts the next); null if none is left."""
+    kept = F.filter(F.arrays_zip(log_probs.alias("p"), F.slice(labels, F.lit(2), F.greatest(F.lit(0), F.size(labels) - 1)).alias("y")), lambda x: x["y"].isNotNull() & (x["y"] != ignore) & x["p"].isNotNull())
+    total = F.aggregate(kept, F.lit(0.0), lambda a, x: a - x["p"])
+    return F.when(F.size(kept) > 0, total / F.size(kept))

@@ -44,3 +44,34 @@ def resample(pcm: Column, from_rate: int, to_rate: int) -> Column:
 
 def scale_int16(pcm: Column) -> Column:
     return F.transform(pcm, lambda x: x / 32768)
+
+
+def attention_mask(values: Column, to: Column) -> Column:
+    """1 for each value, 0 for each place of padding up to ``to``."""
+    n = F.size(values)
+    return F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.greatest(F.lit(0), (to - n).cast("int"))))
+
+
+def long_enough(pcm: Column, least: int = 1600) -> Column:
+    """Whether there is enough audio to decode; false for null."""
+    return F.coalesce(F.size(pcm) >= least, F.lit(False))
+
+
+def drop_tail(tokens: Column, k: Column) -> Column:
+    """Tokens without the last ``k``."""
+    return F.slice(tokens, F.lit(1), F.greatest(F.lit(0), F.size(tokens) - k))
+
+
+def soft_prefix(pieces: Column, k: Column) -> Column:
+    """The text of byte pieces (array<binary>) without the last ``k``, and without as many more as it
+    takes to end with a whole character and to hold no U+FFFD; empty if none is left."""
+    n = F.greatest(F.lit(0), F.size(pieces) - k)
+    text = lambda e: F.aggregate(F.slice(pieces, F.lit(1), e), F.lit(b""), lambda a, x: F.concat(a, x))
+    good = lambda e: F.is_valid_utf8(text(e).cast("string")) & ~F.contains(text(e).cast("string"), F.lit("\ufffd"))
+    longest = F.coalesce(F.array_max(F.filter(F.sequence(F.lit(0), n), good)), F.lit(0))
+    return text(longest).cast("string")
+
+
+def response_length(whole: Column, prompt: Column) -> Column:
+    """Tokens of an example beyond those of its prompt."""
+    return F.greatest(F.lit(0), F.size(whole) - F.size(prompt))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import difflib
+import re
 import unicodedata
+from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -110,9 +114,12 @@ def number_to_han(s: Column) -> Column:
     return F.array_join(F.transform(parts, one), "")
 
 
-def normalize_utterance(s: Column, lang: Column) -> Column:
-    """Numerals, variants, fillers and ASCII case, in this order. Conversion between Chinese
-    scripts is left to the caller (identity here)."""
+def normalize_utterance(s: Column, lang: Column, scripts: Mapping[str, Mapping[str, str]] | None = None) -> Column:
+    """Conversion between Chinese scripts by the table of ``scripts`` for zh or yue (see
+    :func:`convert_script`; none: unchanged), numerals, variants, fillers and ASCII case, in
+    this order."""
+    for code, table in (scripts or {}).items():
+        s = F.when(lang == code, convert_script(s, table)).otherwise(s)
     return lower_ascii(fold_variants(number_to_han(s), lang))
 
 
@@ -152,9 +159,72 @@ def clean_candidates(c: Column, most: int) -> Column:
     return F.filter(F.transform(F.slice(F.filter(c, lambda x: x.isNotNull()), 1, most), lambda x: canonical_text(x, nfkc=False)), lambda x: x != "")
 
 
-def text_delta(full: Column, prefix: Column) -> Column:
-    """What ``full`` adds to ``prefix``; all of it where it does not begin with it."""
-    return F.when(F.startswith(full, prefix), F.substring(full, F.length(prefix) + 1, F.length(full))).otherwise(full)
+def display_candidates(c: Column) -> Column:
+    """Candidates without the U+FFFD at their ends, blank and null ones dropped; null if none is left."""
+    kept = F.filter(F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: F.regexp_replace(x, "\ufffd+$", "")), lambda x: ~x.rlike(r"(?U)^[\s\x1c-\x1f]*$"))
+    return F.when(F.size(kept) > 0, kept)
+
+
+@pandas_udf(StringType())
+def _after_common(full: pd.Series, prefix: pd.Series) -> pd.Series:
+    """What follows the longest block that both have in common; all where there is none."""
+
+    def one(f: str | None, p: str | None) -> str | None:
+        if f is None or p is None:
+            return None
+        m = difflib.SequenceMatcher(None, p, f).find_longest_match()
+        return f[m.b + m.size :] if m.size else f
+
+    return pd.Series([one(f, p) for f, p in zip(full, prefix)], dtype=object)
+
+
+def text_delta(full: Column, prefix: Column, common: bool = False) -> Column:
+    """What ``full`` adds to ``prefix``. Where it does not begin with it, all of ``full``, or with
+    ``common`` what follows the longest block that both have in common."""
+    begins = F.startswith(full, prefix)
+    # texts that begin with the prefix are not sent to Python
+    other = _after_common(F.when(begins, F.lit(None)).otherwise(full), F.when(begins, F.lit(None)).otherwise(prefix)) if common else full
+    return F.when(begins, F.substring(full, F.length(prefix) + 1, F.length(full))).otherwise(other)
+
+
+def convert_script(s: Column, table: Mapping[str, str] | None = None) -> Column:
+    """``s`` with the phrases of ``table`` replaced, the longest first from left to right; unchanged
+    without a table. Tables of single characters stay in the JVM; one of phrases goes to the
+    tasks, so it should be a dictionary and not data."""
+    if not table:
+        return s
+    if all(len(k) == 1 and len(v) == 1 for k, v in table.items()):
+        return F.translate(s, "".join(table), "".join(table.values()))
+    phrase = re.compile("|".join(map(re.escape, sorted((k for k in table if k), key=len, reverse=True))))
+    table = dict(table)
+
+    @pandas_udf(StringType())
+    def convert(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: t if t is None else phrase.sub(lambda m: table[m.group()], t))
+
+    return convert(s)
+
+
+def emission_line(ms: Column, start: Column, end: Column, text: Column) -> Column:
+    """What a live recognizer prints: milliseconds since its start, begin and end (seconds) of the
+    segment in milliseconds, text."""
+    return F.format_string("%.4f %.0f %.0f %s", ms.cast("double"), start.cast("double") * 1000, end.cast("double") * 1000, text)
+
+
+def packet_line(packet: Column) -> Column:
+    """The first line of a packet of bytes, up to its first NUL; bytes that are no UTF-8 become
+    U+FFFD."""
+    text = F.make_valid_utf8(packet.cast("string"))
+    return F.substring_index(F.substring_index(text, "\0", 1), "\n", 1)
+
+
+def line_packets(text: Column, size: int = 65536, pad: bool = False) -> Column:
+    """The first line of a text with its line end as packets (array<binary>) of at most ``size``
+    bytes; with ``pad`` the last one is filled with NUL."""
+    data = F.to_binary(F.concat(F.substring_index(text, "\n", 1), F.lit("\n")), F.lit("utf-8"))
+    n = F.ceil(F.length(data) / size).cast("int")
+    whole = F.concat(data, F.to_binary(F.repeat(F.lit("\0"), n * size - F.length(data)), F.lit("utf-8"))) if pad else data
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(whole, i * size + 1, F.lit(size)))
 
 
 def base_name(path: Column) -> Column:
@@ -172,6 +242,9 @@ def language_name(code: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGE_NAMES.items() for x in kv]), F.coalesce(code, F.lit("")))
 
 
-def block_size(seconds: Column, most: int) -> Column:
-    """Decoding block: all tokens under two seconds of audio, eight under five, else four."""
+def block_size(seconds: Column, most: int, fixed: int | None = None) -> Column:
+    """Decoding block: all tokens under two seconds of audio, eight under five, else four; ``fixed``
+    (an option or a variable of the environment) wins."""
+    if fixed is not None:
+        return F.lit(int(fixed))
     return F.when(seconds < 2, F.lit(most)).when(seconds < 5, F.lit(8)).otherwise(F.lit(4))

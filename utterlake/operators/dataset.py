@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from utterlake.functions import pcm as P
+
 # The wording of the two prompts.
 PROMPT_AUDIO = (
     "Given the audio and the following ASR transcription candidates, predict the correct continuation.",
@@ -48,6 +50,12 @@ def hash_key(seed: int, *ids: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), F.concat_ws("-", *[i.cast("string") for i in ids])))
 
 
+def hash_place(df: DataFrame, by: str, seed: int, *ids: str) -> DataFrame:
+    """``df`` with ``place``: a random order within each ``by``, the same in every engine."""
+    w = Window.partitionBy(by).orderBy(hash_key(seed, *[F.col(i) for i in ids]), *ids)
+    return df.withColumn("place", F.row_number().over(w))
+
+
 def sample(df: DataFrame, n: int, seed: int, *ids: str) -> DataFrame:
     """``n`` rows drawn without replacement; the top n by hash, so no full sort."""
     return df.orderBy(hash_key(seed, *[F.col(i) for i in ids]), *ids).limit(n)
@@ -74,3 +82,35 @@ def last_given(df: DataFrame, key: str, order: list[str], value: str, out: str)
     """The last non-null ``value`` up to each row."""
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(out, F.last(value, ignorenulls=True).over(w))
+
+
+def previous_best(df: DataFrame, key: str, order: list[str], candidates: str, out: str) -> DataFrame:
+    """The best candidate of the row before, empty for a key's first: what the next row builds on."""
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn(out, F.coalesce(F.lag(F.get(candidates, 0)).over(w), F.lit("")))
+
+
+def shuffled(df: DataFrame, seed: int, *ids: str) -> DataFrame:
+    """``df`` in an order that is random in the ids and the same in every engine (a sort by range
+    partitions)."""
+    return df.orderBy(hash_key(seed, *[F.col(i) for i in ids]), *ids)
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    """All rows of all tables, by column name; a column that a table lacks is null there."""
+    if not tables:
+        raise ValueError("no tables")
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def collate(df: DataFrame, batch: str, tokens: str, prompt: str, fill: int = 0, ignore: int = -100) -> DataFrame:
+    """``df`` with input_ids, attention_mask and labels: tokens filled up to the longest of their
+    ``batch``; labels are ``ignore`` in the first ``prompt`` places and in the filling."""
+    longest = df.groupBy(batch).agg(F.max(F.size(tokens)).alias("_longest"))
+    d = df.join(longest, batch)
+    to = F.col("_longest")
+    labels = P.label_mask(P.pad(F.col(tokens), to, F.lit(None).cast("int")), F.col(prompt), ignore)
+    return d.withColumns({"input_ids": P.pad(F.col(tokens), to, F.lit(fill).cast("int")), "attention_mask": P.attention_mask(F.col(tokens), to), "labels": labels}).drop("_longest")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FRAME = 512  # samples of a frame at 16 kHz
@@ -42,12 +45,82 @@ def chunks(files: DataFrame, key: str, seconds: str, step: float) -> DataFrame:
     return out.select(key, "chunk", (F.col("chunk") * step).alias("begin_s"), F.least((F.col("chunk") + 1) * step, F.col("_s")).alias("end_s"))
 
 
-def trigger_cadence(lengths: Column, threshold: int) -> Column:
-    """Numbers (from 0) of the chunks at which more than ``threshold`` samples have gathered since
-    the last one; the count starts again there."""
-    start = F.struct(F.lit(0).cast("bigint").alias("b"), F.array().cast("array<int>").alias("o"))
-    step = lambda a, x: F.when(a["b"] + x["c"] > threshold, F.struct(F.lit(0).cast("bigint").alias("b"), F.concat(a["o"], F.array(x["i"])).alias("o"))).otherwise(F.struct((a["b"] + x["c"]).alias("b"), a["o"].alias("o")))
-    return F.aggregate(F.transform(lengths, lambda c, i: F.struct(c.cast("bigint").alias("c"), i.alias("i"))), start, step, lambda a: a["o"])
+def trigger_cadence(df: DataFrame, key: str, order: list[str], samples: str, threshold: int, flush: bool = False) -> DataFrame:
+    """(key, chunk, waiting): the chunks (numbered from 0 within the key) at which more than
+    ``threshold`` samples have gathered since the last one; the count starts again there. With
+    ``flush`` the last chunk is one too, if anything is waiting.
+
+    The running count starts again at places that depend on itself, so a sorted pass over each
+    key keeps it; its state is two numbers, and no key is gathered anywhere.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    numbered = df.select(F.col(key).alias("_key"), (F.row_number().over(w) - 1).cast("bigint").alias("chunk"), F.coalesce(F.col(samples), F.lit(0)).cast("bigint").alias("n"), F.lead(F.lit(1)).over(w).isNull().alias("last"))
+    # the window has sorted each part of the table by key and place already
+    ordered = numbered.sortWithinPartitions("_key", "chunk")
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = 0
+        for b in batches:
+            keys, chunks, counts, lasts = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+            rows, said = [], []
+            for i, (chunk, n, last) in enumerate(zip(chunks, counts, lasts)):
+                waiting = n if chunk == 0 else waiting + n
+                if waiting > threshold or flush and last and waiting > 0:
+                    rows.append(i)
+                    said.append(waiting)
+                    waiting = 0
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([keys.take(at), b.column(1).take(at), pa.array(said, pa.int64())], ["_key", "chunk", "waiting"])
+
+    return ordered.mapInArrow(run, f"_key {kind}, chunk bigint, waiting bigint").withColumnRenamed("_key", key)
+
+
+def accumulated(df: DataFrame, key: list[str], order: list[str], pcm: str) -> DataFrame:
+    """(key.., pcm): the chunks of each key joined in order, null ones left out. For keys of bounded
+    length, such as a speech segment."""
+    held = F.sort_array(F.collect_list(F.when(F.col(pcm).isNotNull(), F.struct(*order, F.col(pcm).alias("_pcm")))))
+    return df.groupBy(*key).agg(F.flatten(F.transform(held, lambda x: x["_pcm"])).alias("pcm"))
+
+
+def gathered(df: DataFrame, key: str, order: list[str], pcm: str) -> DataFrame:
+    """``df`` with ``gathered``: samples of the key up to each row (the growing frame's length)."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("gathered", F.sum(F.coalesce(F.size(pcm), F.lit(0))).over(w))
+
+
+def frames(df: DataFrame, key: str, order: list[str], pcm: str, size: int = FRAME) -> DataFrame:
+    """(key, frame, pcm): the samples of a key in frames of ``size``, carried over from chunk to
+    chunk; what is left over at the end is no frame."""
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.coalesce(F.size(pcm), F.lit(0))).over(w), F.lit(0))
+    placed = df.where(F.size(pcm) > 0).select(key, before.alias("_before"), F.col(pcm).alias("_pcm"))
+    # pieces of frames, so that single samples never become rows
+    first, last = F.floor(F.col("_before") / size), F.floor((F.col("_before") + F.size("_pcm") - 1) / size)
+    piece = placed.select(key, "_before", "_pcm", F.explode(F.sequence(first, last)).alias("frame"))
+    a = F.greatest(F.lit(0), F.col("frame") * size - F.col("_before")).cast("int")
+    b = F.least(F.size("_pcm"), (F.col("frame") + 1) * size - F.col("_before")).cast("int")
+    piece = piece.select(key, "frame", F.struct("_before", F.slice("_pcm", a + 1, b - a).alias("x")).alias("piece"))
+    whole = piece.groupBy(key, "frame").agg(F.flatten(F.transform(F.sort_array(F.collect_list("piece")), lambda x: x["x"])).alias("pcm"))
+    return whole.where(F.size("pcm") == size)
+
+
+def speech_only(segments: DataFrame, least: int = 4000) -> DataFrame:
+    """Closed segments of at least ``least`` samples."""
+    return segments.where(F.col("end_sample") - F.col("start_sample") >= least)
+
+
+def joined_text(df: DataFrame, key: str, order: list[str], text: str, sep: str = " ") -> DataFrame:
+    """(key, said): the texts of a session in order, null ones left out. For keys of bounded length."""
+    held = F.sort_array(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(*order, F.col(text).alias("_text")))))
+    return df.groupBy(key).agg(F.array_join(F.transform(held, lambda x: x["_text"]), sep).alias("said"))
+
+
+def redecoded(files: DataFrame, key: str, seconds: str, step: float = 2.0, unfixed: int = 2) -> DataFrame:
+    """(key, chunk, end_s, keeps_prefix): re-decoding of all audio so far at every ``step`` seconds;
+    from chunk ``unfixed`` on the text so far, but for its last tokens, is kept as prefix (see
+    :func:`utterlake.functions.pcm.drop_tail`)."""
+    return chunks(files, key, seconds, step).select(key, "chunk", "end_s", (F.col("chunk") >= unfixed).alias("keeps_prefix"))
 
 
 def initial_buffer(df: DataFrame, key: str, order: list[str], samples: str, need: int = 16000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.functions import metrics as M
@@ -25,13 +25,45 @@ def per_file(df: DataFrame, reference: str = "reference", generated: str = "gene
     return M.with_mer(d, reference, generated, hint).drop("_lang", "_r", "_g")
 
 
-def summary(refs: DataFrame, scored: DataFrame, key: str) -> DataFrame:
-    """One row: total, matched and unmatched references, mean cer and mer (0 without matches)."""
-    j = refs.select(key).join(scored.select(key, "cer", "mer", F.lit(1).alias("_m")), key, "left")
+def _summed(refs: DataFrame, scored: DataFrame, key: str, result: Column | None = None) -> DataFrame:
+    more = [] if result is None else [result.alias("_one")]
+    j = refs.select(key).join(scored.select(key, "cer", "mer", F.lit(1).alias("_m"), *more), key, "left")
+    each = [] if result is None else [F.sort_array(F.collect_list("_one")).alias("per_file_results")]
     return j.agg(
         F.count(F.lit(1)).alias("total_files"),
         F.count("_m").alias("matched_files"),
         (F.count(F.lit(1)) - F.count("_m")).alias("unmatched_files"),
         F.coalesce(F.avg("cer"), F.lit(0.0)).alias("average_cer"),
         F.coalesce(F.avg("mer"), F.lit(0.0)).alias("average_mer"),
+        *each,
     )
+
+
+def summary(refs: DataFrame, scored: DataFrame, key: str) -> DataFrame:
+    """One row: total, matched and unmatched references, mean cer and mer (0 without matches)."""
+    return _summed(refs, scored, key)
+
+
+def matched(refs: DataFrame, generated: DataFrame, language: str | None = None) -> DataFrame:
+    """(file, reference, generated, lang) of the keys (file, text) that both sides have."""
+    r, g = refs.select("file", F.col("text").alias("reference")), generated.select("file", F.col("text").alias("generated"))
+    return r.join(g, "file").withColumn("lang", F.lit(language).cast("string"))
+
+
+def displayed(scored: DataFrame) -> DataFrame:
+    """``scored`` (reference, generated, lang) with both texts in the form that the character rate
+    compares."""
+    both = F.concat(F.coalesce("reference", F.lit("")), F.coalesce("generated", F.lit("")))
+    d = scored.withColumn("_lang", T.resolve_language(F.col("lang"), both))
+    return d.withColumns({c: T.cer_form(F.col(c), F.col("_lang")) for c in ("reference", "generated")}).drop("_lang")
+
+
+def evaluation(refs: DataFrame, generated: DataFrame, language: str | None = None) -> DataFrame:
+    """One row: counts, mean rates and per_file_results (file, reference, generated, cer, mer,
+    ref_length, gen_length; texts as compared) of references and transcripts (file, text).
+    References that nothing matches are counted; the results are one array by file, as the file
+    format asks, so this is for evaluation sets; :func:`per_file` of :func:`matched` is the same
+    without that bound."""
+    scored = displayed(per_file(matched(refs, generated, language)))
+    one = F.struct("file", "reference", "generated", "cer", "mer", "ref_length", "gen_length")
+    return _summed(refs, scored, "file", one)

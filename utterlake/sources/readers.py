@@ -21,10 +21,24 @@ AUDIO_KEYS = ("k_best_candidates", "previous_transcript", "continuation_transcri
 TEXT_KEYS = ("k_best_candidates", "continuation_transcript")
 
 
-def audio_files(spark: SparkSession, path: str, recursive: bool = True, extensions: tuple[str, ...] = ("wav", "mp3", "flac", "m4a")) -> DataFrame:
-    """(path, length) of the audio files below ``path``, without their content."""
-    r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return r.where(F.lower("path").rlike(rf"\.({'|'.join(extensions)})$")).select("path", "length")
+def audio_files(spark: SparkSession, path: str, depth: int | None = None, extensions: tuple[str, ...] = ("wav", "mp3", "flac", "m4a"), any_case: bool = True) -> DataFrame:
+    """(path, length) of the audio files below ``path``, by path, without their content: of all
+    folders below, or with ``depth`` 0 of ``path`` alone, with 1 of it and its own folders. A
+    path that names one file which is no audio is an error."""
+    r = spark.read.format("binaryFile")
+    if depth is None:
+        files = r.option("recursiveFileLookup", "true").load(path)
+    else:
+        root = path.rstrip("/")
+        if depth > 1:
+            raise ValueError("depth is 0, 1 or None for all")
+        files = r.load(root + "/*")  # of folders that a glob meets it lists what is in them
+        files = files.where(F.size(F.split(F.substring_index("path", root.rsplit("/", 1)[-1] + "/", -1), "/")) <= depth + 1)
+    name = F.lower("path") if any_case else F.col("path")
+    last = path.rstrip("/").rsplit("/", 1)[-1]
+    if "." in last.lstrip(".") and last.rsplit(".", 1)[-1].lower() not in extensions and "*" not in last and files.where(F.col("path").endswith("/" + last)).limit(1).count():
+        raise ValueError(f"{path} is no audio file")
+    return files.where(name.rlike(rf"\.({'|'.join(extensions)})$")).select("path", "length").orderBy("path")
 
 
 def audio(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
@@ -51,24 +65,63 @@ def audio(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
     return r.select("path", decode("content").alias("pcm"), F.lit(rate).alias("rate"))
 
 
-def references(spark: SparkSession, path: str, language: str) -> DataFrame:
-    """(file, text): a JSON list of objects with audio_path and text_<language> (else text); each
-    non-empty text under its file name and its stem; of equal keys the last path stands."""
-    df = spark.read.schema(f"audio_path string, text string, text_{language} string").json(path, multiLine=True)
-    t = F.coalesce(F.col(f"text_{language}"), F.col("text"))
-    rows = df.select("audio_path", t.alias("t")).where("t <> ''").select("audio_path", "t", F.explode(F.array(base_name(F.col("audio_path")), stem(F.col("audio_path")))).alias("file"))
-    return rows.groupBy("file").agg(F.max_by("t", "audio_path").alias("text"))
+# Reference files whose texts are in another language than asked for.
+LANGUAGE_OF_FILE = {"/WSYue-ASR-eval/Short/content.json": "yue"}
+
+
+def _last_of(rows: DataFrame) -> DataFrame:
+    """(file, text): of rows (keys, text, place) each text under each of its keys, the last stands."""
+    return rows.select(F.explode("keys").alias("file"), "text", "place").groupBy("file").agg(F.max_by("text", "place").alias("text"))
+
+
+def _objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Objects of JSON lists with their place (file, number), in the order of the file."""
+    return spark.read.schema(schema).json(path, multiLine=True).select("*", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).alias("place"))
+
+
+def references(spark: SparkSession, path: str, language: str, overrides: dict[str, str] | None = None) -> DataFrame:
+    """(file, text): a JSON list of objects with audio_path and text_<language>; each non-empty text
+    under its file name and its stem; of equal keys the last stands. ``overrides`` names the
+    language of files by the end of their path (LANGUAGE_OF_FILE)."""
+    for end, other in (LANGUAGE_OF_FILE if overrides is None else overrides).items():
+        language = other if path.endswith(end) else language
+    df = _objects(spark, path, f"audio_path string, text_{language} string")
+    p = F.coalesce("audio_path", F.lit(""))
+    return _last_of(df.select(F.array(base_name(p), stem(p)).alias("keys"), F.col(f"text_{language}").alias("text"), "place").where("text <> ''"))
+
+
+def flat_references(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text): a JSON object of file to text as it is, or a list of objects with audio_path and
+    text_zh (else text) under the name up to its first dot; empty texts stay."""
+    whole = spark.read.text(path, wholetext=True)
+    listed = whole.where(F.ltrim("value").startswith("[")).select(F.posexplode(F.from_json("value", "array<struct<audio_path: string, text_zh: string, text: string>>")).alias("place", "x"))
+    listed = listed.select(F.array(stem(F.coalesce("x.audio_path", F.lit("")), first_dot=True)).alias("keys"), F.coalesce("x.text_zh", "x.text", F.lit("")).alias("text"), "place")
+    flat = whole.where(F.ltrim("value").startswith("{")).select(F.explode(F.from_json("value", "map<string, string>")).alias("file", "text"))
+    return _last_of(listed).unionByName(flat)
 
 
 def batch_transcriptions(spark: SparkSession, path: str) -> DataFrame:
-    """One row per result of a batch file, under the file name as written."""
-    return spark.read.schema(BATCH).json(path, multiLine=True).select(F.inline("results"))
+    """(file, text): the results of a batch file under the file name as written and its stem."""
+    r = spark.read.schema(BATCH).json(path, multiLine=True).select(F.posexplode("results").alias("place", "x"))
+    return _last_of(r.select(F.array(F.coalesce("x.file", F.lit("")), stem(F.coalesce("x.file", F.lit("")))).alias("keys"), F.coalesce("x.transcription", F.lit("")).alias("text"), "place"))
 
 
 def transcript_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, text) of *_transcription.txt files."""
-    r = spark.read.text(folder, wholetext=True, pathGlobFilter="*_transcription.txt").select(base_name(F.input_file_name()).alias("n"), F.trim("value").alias("text"))
-    return r.select(F.regexp_replace(F.regexp_replace("n", r"\.txt$", ""), "_transcription", "").alias("file"), "text")
+    """(file, text) of *_transcription.txt files, each under its name without that and with .wav."""
+    r = spark.read.text(folder, wholetext=True, pathGlobFilter="*_transcription.txt").select(base_name(F.input_file_name()).alias("n"), F.regexp_replace("value", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "").alias("text"))
+    name = F.replace(F.regexp_replace(F.coalesce(F.try_url_decode("n"), "n"), r"\.txt$", ""), F.lit("_transcription"), F.lit(""))
+    return _last_of(r.select(F.array(name, F.concat(name, F.lit(".wav"))).alias("keys"), "text", F.col("n").alias("place")))
+
+
+def transcripts(spark: SparkSession, folder: str, batch_file: str = "batch_transcriptions.json") -> DataFrame:
+    """(file, text): the batch file of a folder if there is one, else its transcript files; an error
+    if there is neither."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{batch_file}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = batch_transcriptions(spark, f"{folder}/{batch_file}") if fs.exists(path) else transcript_files(spark, folder)
+    if not out.limit(1).count():
+        raise ValueError(f"no transcripts in {folder}")
+    return out
 
 
 def histories(spark: SparkSession, path: str) -> DataFrame:
@@ -85,15 +138,35 @@ def json_lines(spark: SparkSession, path: str, schema: str = CORRECTION) -> tupl
     return parsed.where(~bad).select("r.*").drop("_bad"), parsed.where(bad).select("value")
 
 
+def with_defaults(samples: DataFrame) -> DataFrame:
+    """Correction samples with what optional fields stand for where they are missing: no transcript
+    before, and as many candidates as are listed."""
+    return samples.withColumns({"previous_transcript": F.coalesce("previous_transcript", F.lit("")), "num_candidates": F.coalesce("num_candidates", F.size("k_best_candidates"))})
+
+
+def in_memory(spark: SparkSession, audio: list, instructions: list[str], responses: list[str]) -> DataFrame:
+    """(audio array<float>, instruction, response) of three lists of one length."""
+    if not len(audio) == len(instructions) == len(responses):
+        raise ValueError("the lists differ in length")
+    return spark.createDataFrame([([float(v) for v in a], i, r) for a, i, r in zip(audio, instructions, responses)], "audio array<float>, instruction string, response string")
+
+
+def dummy(spark: SparkSession, rows: int = 4, samples: int = 16000) -> DataFrame:
+    """``rows`` equal rows of noise with a fixed instruction and response, to try a pipeline without data."""
+    noise = F.transform(F.sequence(F.lit(1), F.lit(samples)), lambda i: ((F.xxhash64(i) / F.lit(float(1 << 63)))).cast("float"))
+    return spark.range(rows).select(noise.alias("audio"), F.lit("Transcribe this audio.").alias("instruction"), F.lit("This is a test transcription.").alias("response"))
+
+
 def tabular(spark: SparkSession, path: str, rename: dict[str, str] | None = None) -> DataFrame:
-    """JSON, JSON lines, CSV or Parquet by extension, with columns renamed to canonical names."""
+    """JSON, JSON lines, CSV (all strings, so that it is read once) or Parquet by extension, with
+    columns renamed to canonical names."""
     ext = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ext == "json":
         df = spark.read.json(path, multiLine=True)
     elif ext == "jsonl":
         df = spark.read.json(path)
     elif ext == "csv":
-        df = spark.read.csv(path, header=True, inferSchema=True)
+        df = spark.read.csv(path, header=True)
     elif ext == "parquet":
         df = spark.read.parquet(path)
     else:

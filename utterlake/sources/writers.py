@@ -30,3 +30,21 @@ def batch_summary(df: DataFrame, path: str) -> None:
         given("last_token_latency_ms").alias("average_last_token_latency_ms"),
         F.sort_array(F.collect_list(F.struct("file", "duration", "transcription", "first_token_latency_ms", "last_token_latency_ms"))).alias("results"),
     ).coalesce(1).write.mode("overwrite").json(path)
+
+
+def evaluation_summary(evaluation: DataFrame, path: str) -> None:
+    """The one row that :func:`utterlake.plans.evaluate.evaluation` gives, as one JSON object."""
+    evaluation.coalesce(1).write.mode("overwrite").json(path)
+
+
+def single_file(result: DataFrame, folder: str, scored: DataFrame | None = None) -> None:
+    """What a run over one file leaves: final_transcription.txt, segments_with_timing.json and, with
+    ``scored``, evaluation_result.json, each a folder with one part. ``result``: one row of
+    audio_file, duration, segments, final_text; ``scored``: one row of file, reference,
+    generated, cer, mer and latencies (those of 0 are written as missing)."""
+    one = result.limit(1).coalesce(1)
+    one.select(F.coalesce("final_text", F.lit("")).alias("value")).write.mode("overwrite").text(f"{folder}/final_transcription.txt")
+    one.select("audio_file", "duration", "segments").write.mode("overwrite").json(f"{folder}/segments_with_timing.json")
+    if scored is not None:
+        latency = lambda c: F.when(F.col(c) != 0, F.col(c)).alias(c)
+        scored.limit(1).coalesce(1).select("file", "reference", "generated", "cer", "mer", F.length("reference").alias("ref_length"), F.length("generated").alias("gen_length"), latency("first_token_latency_ms"), latency("last_token_latency_ms")).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/evaluation_result.json")
