@@ -7,7 +7,7 @@ each component then falls into a split by the hash of its identifier.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterlake.llm.common import hash_unit
@@ -144,6 +144,6 @@ def split_shares(assigned: DataFrame, targets: DataFrame) -> DataFrame:
     """(split_name, share, records, reached): what each split of ``targets`` (split_name, share)
     got, and its part of all records."""
     got = assigned.groupBy(F.col("split").alias("split_name")).agg(F.count(F.lit(1)).alias("records"))
-    whole = got.agg(F.sum("records").alias("_all"))
-    out = targets.join(got, "split_name", "left").fillna(0, ["records"]).crossJoin(F.broadcast(whole))  # one row
-    return out.select("split_name", "share", "records", F.coalesce(F.col("records") / F.col("_all"), F.lit(0.0)).alias("reached"))
+    out = targets.join(got, "split_name", "left").fillna(0, ["records"])
+    whole = F.sum("records").over(Window.partitionBy(F.lit(1)))  # a row for each split
+    return out.select("split_name", "share", "records", F.coalesce(F.col("records") / F.nullif(whole, F.lit(0)), F.lit(0.0)).alias("reached"))
