@@ -496,10 +496,10 @@ def frame_512(spark: SparkSession, d: str) -> DataFrame:
 
 
 # samples of a label run on from vector to vector
-_RUN = "SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS at FROM (SELECT label, vec_id, i, embedding[i + 1] AS x FROM (SELECT label, vec_id, embedding, unnest(range(64)) AS i FROM embeddings))"
+_RUN = "SELECT label, x, row_number() OVER (PARTITION BY label ORDER BY vec_id, i) - 1 AS place FROM (SELECT label, vec_id, i, embedding[i + 1] AS x FROM (SELECT label, vec_id, embedding, unnest(range(64)) AS i FROM embeddings))"
 
 
-@query(f"SELECT label, CAST(at // 48 AS BIGINT) AS frame, list(x ORDER BY at) AS pcm FROM ({_RUN}) GROUP BY label, at // 48 HAVING count(*) = 48")
+@query(f"SELECT label, CAST(place // 48 AS BIGINT) AS frame, list(x ORDER BY place) AS pcm FROM ({_RUN}) GROUP BY label, place // 48 HAVING count(*) = 48")
 def frame_carry(spark: SparkSession, d: str) -> DataFrame:
     return segment.frames(table(spark, d, "embeddings"), "label", ["vec_id"], "embedding", 48)
 
