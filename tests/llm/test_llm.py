@@ -6,10 +6,11 @@ import re
 import unicodedata
 
 import numpy as np
+import plain_names
 import pytest
 from pyspark.sql import functions as F
 
-from utterlake.llm import bpe, leakage, lookalike, mixing, overlap, percentiles, pii, pii_scan, splits, subjects
+from utterlake.llm import bpe, leakage, lookalike, mixing, overlap, percentiles, pii, pii_scan, pii_tokens, splits, subjects
 
 VOCABULARY = bpe.DEFAULT_VOCABULARY
 
@@ -71,8 +72,68 @@ def test_pii_fold_remembers_places():
     text = "ｗrite to а​nn@x.test"
     f = pii_scan.fold(text)
     assert f.text == "write to ann@x.test"
-    m = [x for x in pii_scan.scan(text, None, True)[0] if x.group == "email"][0]
-    assert text[m.start : m.end] == "а​nn@x.test"
+    m = pii_scan.emails(pii_scan.Context(f.text))[0]
+    a, b = f.span(m.start, m.end)
+    assert text[a:b] == "а​nn@x.test"
+
+
+def test_pii_of_unknown_forms_are_found_by_context(spark):
+    r = random.Random(5)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    texts = [f"noted, social security {d[:3]}-{d[3:5]}-{d[5:]} thanks" for d in (digits(9) for _ in range(20))]
+    texts += [f"well, i live at {i} {a} Street now" for i, a in enumerate(["Quarry", "Fenwick", "Marlow", "Tarn", "Osprey"] * 4, 20)]
+    texts += ["noted, social security KJ 55-1204-B7 thanks", "well, i live at Tarnhollow Rise 14", "well, i live at 7 Osprey Hollow"]
+    texts += ["noted, part KJ 55-1204-B7 thanks", "well, i saw Tarnhollow Rise 14", "well, i live at peace", "noted, social security is vital"]
+    got = {(x["row_id"], x["kind"]) for x in pii.find_spans(spoken(spark, texts)).where("kind <> 'name'").collect()}
+    assert got == {*((i, "id_number") for i in range(20)), *((i, "address") for i in range(20, 40)), (40, "id_number"), (41, "address"), (42, "address")}
+
+
+def test_pii_seeds_can_be_outweighed(spark):
+    # a shape of telephone numbers that stands where serial numbers do
+    texts = [f"the serial is {700000000 + 1234 * i} on the back" for i in range(200)] + [f"the part is {700000000 + 991 * i} on the back" for i in range(3)] + [f"call me back on +44 7700 9{i:05d} please" for i in range(40)]
+    spans = pii.find_spans(spoken(spark, texts)).where("kind <> 'name'")
+    got = {x["row_id"] for x in spans.collect()}
+    assert got == set(range(203, 243))
+
+
+def test_pii_arrays_of_tokens_against_plain_reading():
+    r = random.Random(11)
+    latin = ["Mr", "mrs", "DR", "Dr.", "Tobrin", "o'neil", "O'Brannick", "K.", "anneth", "Anne-Lie", "the", "said", "42", "x", "McGee", ",", ".", "_", "@", "Señora", "İnce"]
+    han = list("王李欧阳司马小明先生女士岑志的找，") + ["\u200b"]
+    texts = ["".join(r.choice(latin) + r.choice([" ", " ", "  "]) for _ in range(r.randrange(0, 9))) for _ in range(1500)]
+    texts += ["".join(r.choice(han) for _ in range(r.randrange(0, 12))) for _ in range(1500)]
+    texts += [a + " " + b for a, b in zip(texts[:200], texts[-200:])]
+    words, lefts, rights = ["anneth", "小", "明", "志", "tobrin"], ["the", "找", "said 0"], ["said", "的"]
+
+    class Exact:
+        def __init__(self, numbers):
+            self.numbers = np.array(sorted(numbers), np.int64)
+
+        def has(self, x):
+            return np.isin(x, self.numbers)
+
+    number = pii_tokens.context_number
+    arrays = pii_tokens.Known(Exact(map(pii_tokens.number, words)), Exact(map(number, lefts)), Exact(map(number, rights)), None)
+    plain = plain_names.Known(*(plain_names.Plain(x) for x in (words, lefts, rights)))
+    batch = pii_tokens.Batch(texts)
+    for known, exact in ((None, None), (arrays, plain)):
+        got = set()
+        for found in batch.names(known):
+            for form, a, z, seed in zip(found.form, found.begin.tolist(), found.end.tolist(), found.seed):
+                got.add((*batch.span(a, z), form, bool(seed)))
+        want = set()
+        for i, t in enumerate(texts):
+            f = pii_scan.fold(t)
+            want |= {(i, *f.span(m.start, m.end), m.form, m.seed == "name") for m in plain_names.names(pii_scan.Context(f.text), exact)}
+        # an apostrophe before the second capital, and what follows two titles in a row, are read differently
+        odd = {x for x in got ^ want if "'" not in texts[x[0]] and x[3] not in ("title",) and "İ" not in texts[x[0]] and "_" not in texts[x[0]]}
+        assert len(odd) <= 0.02 * len(want), [(x, texts[x[0]]) for x in sorted(odd, key=str)[:8]]
+
+
+def test_pii_shapes_pass_the_counts():
+    texts = ["ann at mail dot org", "a@b.de", "艾特 王艾特某点网", "nine four two two two four nine", "一三八零零零零二", "21 Quarry Close", "wohnt Lindenweg zwanzig", "Lindenstr. 4", "calle mayor 3", "翠屿路99号", "12 b Osprey Hollow", "12 Osprey Hollow", "1234567", "nothing here", "", "Tom 3"]
+    batch = pii_tokens.Batch(texts)
+    assert set(batch.with_shapes().tolist()) >= set(range(13)) and not {13, 14, 15} & set(batch.with_shapes().tolist())
 
 
 def test_pii_empty_table(spark):

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from utterlake.llm.common import word_hashes
 from utterlake.llm.leakage import _APOSTROPHE, _INVISIBLE, _MARK, _SPEAKER
 from utterlake.session import drop_path, store
 
@@ -68,18 +69,6 @@ def clean(text: str) -> str:
     return _APOSTROPHE.sub("", text) if "'" in text or "’" in text else text
 
 
-def _hashes(points: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A positive 62-bit number of each word, above those of Chinese pairs."""
-    if not len(start):
-        return np.empty(0, np.int64)
-    before = np.cumsum(length) - length
-    place = np.arange(length.sum()) - np.repeat(before, length)
-    power = np.cumprod(np.append(np.uint64(1), np.full(int(length.max()) - 1, 0x9E3779B97F4A7C15, np.uint64)))
-    h = np.add.reduceat((points[np.repeat(start, length) + place].astype(np.uint64) + np.uint64(7)) * power[place], before)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((h >> np.uint64(2)) | np.uint64(1 << 61)).astype(np.int64)
-
-
 @dataclass
 class Tokens:
     """Terms of some texts, in order: words of three letters or more, and pairs of neighbouring
@@ -128,7 +117,7 @@ class Tokens:
         place = np.arange(len(at)) - first[run] if len(at) else at
         size = np.diff(np.append(first, len(at)))
         part = np.where(size[run] > 2 * window, place // window, 0) if len(at) else at
-        word = _hashes(points, at[is_word], length[is_word])
+        word = word_hashes(points, at[is_word], length[is_word])
         # the language, by the text where it tells, else by the hint
         words, chars = np.bincount(doc[is_word], minlength=n), np.bincount(doc[~is_word], minlength=n)
         names = list(_STOP)
@@ -165,7 +154,7 @@ def _word_hashes(words: set[str]) -> np.ndarray:
     listed = sorted(words)
     points = np.frombuffer("".join(listed).encode("utf-32-le"), np.uint32)
     length = np.array([len(w) for w in listed])
-    return _hashes(points, np.cumsum(length) - length, length)
+    return word_hashes(points, np.cumsum(length) - length, length)
 
 
 def _each(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Tokens]]:
