@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +42,17 @@ _CODE = re.compile(r"[A-Za-z]{0,4}[ -]?\d[\dA-Za-z]*(?:[ ./-][\dA-Za-z]*\d[\dA-Z
 _SOMEWHERE = re.compile(r"\d{1,4}[a-z]?,?\s+[^\W\d_]{2,}(?:\s[^\W\d_]{2,}){0,2}|(?:[^\W\d_]{2,}\s){1,3}\d{1,4}[a-z]?(?=\s*(?:[^\w\s]|$))|[一-鿿]{2,10}[0-9零〇一二三四五六七八九十百]{1,6}[号號]")
 
 
-@lru_cache(500_000)
-def _context_number(context: str) -> int:
-    return pii_tokens.context_number(context)
+class _ContextNumbers(dict):
+    """Numbers of contexts, remembered."""
+
+    def __missing__(self, context: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[context] = n = pii_tokens.context_number(context)
+        return n
+
+
+_CONTEXT_NUMBER = _ContextNumbers()
 
 
 def _table(columns: dict[str, object], n: int) -> pa.RecordBatch:
@@ -114,7 +121,7 @@ def _scanned(texts: DataFrame, known: tuple[bytes, ...] | None) -> DataFrame:
                 rows = list(_shaped(batch))
                 if rows:
                     texts, ms, said = zip(*rows)
-                    yield _table({**where(texts), "start": [m.start for m in ms], "end": [m.end for m in ms], "grp": [m.group for m in ms], "form": [m.form for m in ms], "seed": [m.seed for m in ms], "left": [m.left for m in ms], "right": [m.right for m in ms], "shape": [m.shape for m in ms], "ln": [_context_number(m.left) for m in ms], "t1": said}, len(ms))
+                    yield _table({**where(texts), "start": [m.start for m in ms], "end": [m.end for m in ms], "grp": [m.group for m in ms], "form": [m.form for m in ms], "seed": [m.seed for m in ms], "left": [m.left for m in ms], "right": [m.right for m in ms], "shape": [m.shape for m in ms], "ln": [_CONTEXT_NUMBER[m.left] for m in ms], "t1": said}, len(ms))
             else:
                 rows = list(_opened(batch, sketches.opens))
                 if rows:
@@ -232,8 +239,8 @@ def _accepted(sure: float, held: float) -> Column:
     s1, s2, s3 = (F.col(f"s{i}") for i in (1, 2, 3))
     second, third = F.when(F.col("t2") == 0, 1.0).otherwise(s2), F.when(F.col("t3") == 0, 1.0).otherwise(s3)
     return (
-        # a title and what mostly is a name next to titles or in their contexts
-        F.when(F.col("form") == "han_title", F.col("held") | (s1 >= held / 10))
+        # a surname that stands in names, or a title that mostly follows surnames
+        F.when(F.col("form") == "han_title", F.col("held") | (s1 >= held / 10) | (s2 >= held))
         .when(F.col("form") == "title", s1 >= held)
         # characters of Chinese names also stand in names of places: one telling character is
         # enough, and in a known context a few occurrences in names

@@ -327,7 +327,9 @@ class Batch:
         linked = close[np.minimum(b, n) - 1] & ahead if n else ahead
         a, b = a[linked], b[linked]
         with_title = title[b]
-        out.append(("han_title", a[with_title], b[with_title] + 2, seed_of(a[with_title]), [surname(a[with_title]), none, none]))
+        x, y = a[with_title], b[with_title]
+        # the title is the second token: the share of its occurrences after surnames speaks too
+        out.append(("han_title", x, y + 2, seed_of(x), [surname(x), pair(self.hash[y], self.hash[nxt(y + 1)]), none]))
         if known:
             a, b = a[~with_title], b[~with_title]
             padded = np.append(known.tokens.has(self.hash) & (self.hash != 0), np.zeros(3, bool))
