@@ -205,6 +205,23 @@ def test_shingle_lengths_guarantee():
         overlap.shingle_lengths(1, 10)
 
 
+def test_profiles_never_tell_near_texts_apart():
+    r = random.Random(14)
+    rows = []
+    for _ in range(400):
+        a = "".join(r.choice("abcdefghijklmnop 好人天") for _ in range(r.randrange(1, 300)))
+        b = list(a)
+        edits = r.randrange(0, 20)
+        for _ in range(edits):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.choice([0, 1])] = r.choice(["", "x", "天"])
+        rows.append((a, "".join(b), edits))
+    flat = [overlap._flat([x[k] for x in rows]) for k in (0, 1)]
+    p = [overlap._profiles(points, lengths) for points, lengths, _ in flat]
+    got = [sum((int(x) ^ int(y)).bit_count() if x >= 0 and y >= 0 else ((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in ((a0, b0), (a1, b1))) for a0, a1, b0, b1 in zip(*p[0], *p[1])]
+    assert all(g <= 2 * e for g, (_, _, e) in zip(got, rows)) and max(got) > 15
+
+
 # ---- 3 ----
 def test_components_equal_union_find(spark):
     r = random.Random(4)

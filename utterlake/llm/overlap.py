@@ -95,6 +95,21 @@ def _places(lengths: np.ndarray, starts: np.ndarray, q: int, step: int) -> tuple
     return text, (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * step
 
 
+# the counts 0 to 15 round the clock, in eight bits: as many bits differ as counts lie apart
+_CLOCK = np.array([(1 << i) - 1 for i in range(9)] + [255 & ~((1 << i) - 1) for i in range(1, 8)], np.uint64)
+
+
+def _profiles(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often characters of each of sixteen kinds come in each text, modulo 16, eight bits each.
+    An edit changes at most two counts by one, so between texts within an edit distance at
+    most twice that many bits differ."""
+    n = len(lengths)
+    kind = ((points * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)).astype(np.int64)
+    count = np.bincount(np.repeat(np.arange(n), lengths) * 16 + kind, minlength=n * 16).reshape(n, 16)
+    bits = _CLOCK[count & 15] << (np.arange(16, dtype=np.uint64) % np.uint64(8) * np.uint64(8))
+    return np.bitwise_or.reduce(bits[:, :8], axis=1).view(np.int64), np.bitwise_or.reduce(bits[:, 8:], axis=1).view(np.int64)
+
+
 def _length_slot(n: np.ndarray, one_in: int) -> np.ndarray:
     """Texts within the distance are in the same or neighbouring slots."""
     return np.floor(np.log(np.maximum(n, 1)) / -np.log1p(-1.001 / one_in)).astype(np.int64)
@@ -119,19 +134,20 @@ def similar_texts(texts: DataFrame, one_in: int = 10, min_chars: int = 40) -> Da
     texts = texts.where(F.col("n") >= min_chars)
 
     def shingles(texts: list[str], step: bool, widen: bool) -> Iterator[tuple[np.ndarray, ...]]:
-        """(lengths, text, position, hash) for each shingle length; with ``step`` the disjoint
-        ones only; with ``widen`` also of lengths that a partner may have."""
+        """(lengths, text, position, hash, profile of each text) for each shingle length; with ``step``
+        the disjoint ones only; with ``widen`` also of lengths that a partner may have."""
         points, lengths, starts = _flat(texts)
+        profile = _profiles(points, lengths)
         for q, least, upto in plan:
             fit = (lengths < upto * one_in // (one_in - 1) + 1) & (lengths >= least * (one_in - 1) // one_in) if widen else (lengths < upto) & (lengths >= least)
             text, pos = _places(np.where(fit, lengths, 0), starts, q, q if step else 1)
             if len(text):
-                yield lengths, text, pos, _hashes(points, q)[starts[text] + pos]
+                yield lengths, text, pos, _hashes(points, q)[starts[text] + pos], profile
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(FREQUENCY_BUCKETS, np.int64)
         for b in batches:
-            for _, _, _, h in shingles(b.column(0).to_pylist(), False, True):
+            for _, _, _, h, _ in shingles(b.column(0).to_pylist(), False, True):
                 seen += np.bincount((h >> np.uint64(46)).astype(np.int64), minlength=FREQUENCY_BUCKETS)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], ["bucket", "count"])
@@ -144,7 +160,7 @@ def similar_texts(texts: DataFrame, one_in: int = 10, min_chars: int = 40) -> Da
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for lengths, text, pos, h in shingles(b.column(1).to_pylist(), True, False):
+            for lengths, text, pos, h, profile in shingles(b.column(1).to_pylist(), True, False):
                 # the rarest (edits + 1 + EXTRA) of each text; ties by place
                 order = np.lexsort((pos, shared_often.value[h >> np.uint64(46)], text))
                 rank = np.arange(len(text)) - np.searchsorted(text, text)
@@ -158,9 +174,9 @@ def similar_texts(texts: DataFrame, one_in: int = 10, min_chars: int = 40) -> Da
                 slot = first[again] + np.arange(len(again)) - np.repeat(np.cumsum(slots) - slots, slots)
                 for d in (-1, 0, 1):
                     k = _key(h[again], _length_slot(lengths[text[again]], one_in) + d, slot)
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pos[again].astype(np.int32)), pa.array(lengths[text[again]].astype(np.int32)), pa.array(ids[text[again]])], ["k", "pos", "n", "left_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pos[again].astype(np.int32)), pa.array(lengths[text[again]].astype(np.int32)), pa.array(ids[text[again]]), *[pa.array(p[text[again]]) for p in profile]], ["k", "pos", "n", "left_id", "pa", "pb"])
 
-    index = texts.where("on_left").select("tid", "text").mapInArrow(prefixes, "k bigint, pos int, n int, left_id bigint")
+    index = texts.where("on_left").select("tid", "text").mapInArrow(prefixes, "k bigint, pos int, n int, left_id bigint, pa bigint, pb bigint")
     bit = F.shiftrightunsigned("k", KEY_BITS - INDEX_BITS.bit_length() + 1) + 1
     bits = index.select(F.bitmap_bucket_number(bit).alias("part"), F.bitmap_bit_position(bit).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("bits")).collect()
     have = np.zeros(INDEX_BITS, bool)
@@ -174,17 +190,19 @@ def similar_texts(texts: DataFrame, one_in: int = 10, min_chars: int = 40) -> Da
         have = shared_have.value
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for lengths, text, pos, h in shingles(b.column(1).to_pylist(), False, True):
+            for lengths, text, pos, h, profile in shingles(b.column(1).to_pylist(), False, True):
                 k = _key(h, _length_slot(lengths, one_in)[text], pos // POSITION_SLOT)
                 at = k.view(np.uint64) >> np.uint64(KEY_BITS - INDEX_BITS.bit_length() + 1)
                 hit = (have[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
                 text, pos, k = text[hit], pos[hit], k[hit]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pos.astype(np.int32)), pa.array(lengths[text].astype(np.int32)), pa.array(ids[text])], ["k", "pos2", "m", "right_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(pos.astype(np.int32)), pa.array(lengths[text].astype(np.int32)), pa.array(ids[text]), *[pa.array(p[text]) for p in profile]], ["k", "pos2", "m", "right_id", "qa", "qb"])
 
-    probing = texts.where("on_right").select("tid", "text").mapInArrow(probes, "k bigint, pos2 int, m int, right_id bigint")
+    probing = texts.where("on_right").select("tid", "text").mapInArrow(probes, "k bigint, pos2 int, m int, right_id bigint, qa bigint, qb bigint")
     most = (F.greatest("n", "m") / F.lit(one_in)).cast("int")
-    # an unchanged shingle parts both texts, and the edits are those before and those after it
-    met = index.join(probing, "k").where((F.abs(F.col("pos") - F.col("pos2")) + F.abs(F.col("n") - F.col("pos") - F.col("m") + F.col("pos2")) <= most) & (F.col("left_id") != F.col("right_id")))
+    # an unchanged shingle parts both texts, and the edits are those before and those after it;
+    # texts that share a phrase in its place but little else differ in their characters, which
+    # is told before pairs are shuffled
+    met = index.join(probing, "k").where((F.abs(F.col("pos") - F.col("pos2")) + F.abs(F.col("n") - F.col("pos") - F.col("m") + F.col("pos2")) <= most) & (F.col("left_id") != F.col("right_id")) & (F.expr("bit_count(pa ^ qa) + bit_count(pb ^ qb)") <= 2 * most))
     # an indexed shingle may meet several places of a text, which only lets more pairs through
     whole = F.lit(0)
     for q, least, upto in plan:
