@@ -189,11 +189,41 @@ def test_overlaps(spark):
     df = spark.createDataFrame(rows, "id bigint, split string, lang string, previous string, continuation string, audio_path string, timestamp double").withColumn("extra", F.lit(1))
     got = {tuple(x) for x in overlap.overlaps(df).collect()}
     assert got == {(1, 2, "text"), (1, 3, "moment"), (3, 7, "moment")}
-    rep = overlap.report(overlap.overlaps(df), df.select("id", "split", F.lit("s").alias("source")).distinct(), "id")
+    rep = overlap.report(df.withColumn("source", F.lit("s")))
     assert sum(x["pairs"] for x in rep.collect()) == 3
     assert overlap.overlaps(df.limit(0)).count() == 0
 
 
+def test_report_counts_pairs_without_spreading_them(spark):
+    r = random.Random(21)
+    texts = ["".join(r.choice("天地人山水火木金土日月") for _ in range(60)) for _ in range(4)]
+    near = [t[:20] + "火" + t[21:] for t in texts[:2]]
+    rows, where = [], {}
+    for i in range(60):
+        split, source = r.choice(["train", "train", "test", "validation", None]), r.choice(["a", "b", None])
+        rows.append((i, split, source, "zh", "", r.choice([*texts, *near]), f"/x/ses{i % 7}_ch1.wav", float(i % 5)))
+        where[i] = (split, source)
+    rows.append((3, "test" if where[3][0] == "train" else "train", "a", "zh", "", rows[3][5], None, None))  # delivered on both sides
+    df = spark.createDataFrame(rows, "id bigint, split string, source string, lang string, previous string, continuation string, audio_path string, timestamp double")
+    splits_of = {}
+    for row in rows:
+        splits_of.setdefault(row[0], set()).add((row[1], row[2]))
+    pairs, held = {}, {}
+    for x in overlap.overlaps(df).collect():
+        for e, t in ((x["id_a"], x["id_b"]), (x["id_b"], x["id_a"])):
+            for es, esrc in splits_of[e]:
+                for ts, tsrc in splits_of[t]:
+                    if es != "train" and ts == "train":
+                        # moments hold for the rows that have a path
+                        if x["reason"] == "moment" and 3 in (e, t) and ((es, esrc) != where[e] or (ts, tsrc) != where[t]):
+                            continue
+                        k = (es, esrc, tsrc, x["reason"])
+                        pairs[k] = pairs.get(k, 0) + 1
+                        held.setdefault(k, set()).add(e)
+    got = {(x["split"], x["source"], x["train_source"], x["reason"]): (x["pairs"], x["records"]) for x in overlap.report(df).collect()}
+    assert got == {k: (n, len(held[k])) for k, n in pairs.items()}
+
+
 def test_compared_form():
     assert overlap.compared_form("Ａb c​，D！") == "abcd"
 

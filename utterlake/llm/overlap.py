@@ -233,29 +233,18 @@ def _compared(df: DataFrame) -> DataFrame:
     return df.mapInArrow(run, "id bigint, train boolean, text string, n int, least int")
 
 
-def overlaps(df: DataFrame, train: str = "train", seconds: float = 0.005, one_in: int = 10, least: dict[str, int] | None = None, least_other: int = 120) -> DataFrame:
-    """(id_a, id_b, reason) of all pairs of records, exactly one of them in the split ``train``.
-
-    ``df``: id bigint, split, lang, previous, continuation, audio_path string, timestamp double.
-    reason is 'moment' (paths name the same recording by session and channel, and the
-    timestamps differ by less than ``seconds``) or 'text' (whole transcripts in compared
-    form, each of at least ``least[lang]``, else ``least_other``, characters, whose edit
-    distance is at most a ``one_in``-th of the longer one's length); a pair may have both.
-    id_a < id_b. A record of a null split counts as not delivered as train; null ids,
-    paths, timestamps, and texts that are null or too short match nothing. Repeated rows
-    count once.
-    """
-    least = {"zh": 40, "yue": 40} if least is None else least
-    df = df.where("id is not null").withColumn("train", F.coalesce(F.col("split") == train, F.lit(False)))
-
-    # moments
+def _moments(df: DataFrame, seconds: float) -> DataFrame:
+    """(id, other): records outside and in training of one moment of a recording."""
     slot = F.floor(F.col("timestamp") / F.lit(seconds))
     at = df.where("audio_path is not null and timestamp is not null and not isnan(timestamp)").select("id", "train", "timestamp", path_numbers(F.col("audio_path")).alias("p")).select("id", "train", "timestamp", slot.alias("slot"), "p.session", "p.channel").where("session is not null and channel is not null")
     keys = ["session", "channel", "slot"]
     held = at.where("not train").select("id", "timestamp", "session", "channel", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"))
-    moment = held.join(at.where("train").select(F.col("id").alias("other"), F.col("timestamp").alias("then"), *keys), keys).where(F.abs(F.col("timestamp") - F.col("then")) < F.lit(seconds)).select("id", "other", F.lit("moment").alias("reason"))
+    return held.join(at.where("train").select(F.col("id").alias("other"), F.col("timestamp").alias("then"), *keys), keys).where(F.abs(F.col("timestamp") - F.col("then")) < F.lit(seconds)).where("id <> other").select("id", "other").distinct()
+
 
-    # texts: each different one once, and who has it
+def _texts(df: DataFrame, one_in: int, least: dict[str, int], least_other: int) -> tuple[DataFrame, DataFrame]:
+    """((left_id, right_id) of texts that overlap, equal ones too; (id, train, tid): who has which text)."""
+    # each different text once, and who has it
     need = F.lit(least_other)
     for k, v in least.items():
         need = F.when(F.lower("lang") == k, v).otherwise(need)
@@ -269,7 +258,25 @@ def overlaps(df: DataFrame, train: str = "train", seconds: float = 0.005, one_in
     drop_path(df.sparkSession, own_path)
     smallest = min([least_other, *least.values()])
     pairs = similar_texts(once.select("tid", "text", "n", "on_left", "on_right"), one_in, smallest)
-    pairs = pairs.unionByName(once.where("on_left and on_right").select(F.col("tid").alias("left_id"), F.col("tid").alias("right_id")))
+    return pairs.unionByName(once.where("on_left and on_right").select(F.col("tid").alias("left_id"), F.col("tid").alias("right_id"))), has
+
+
+def overlaps(df: DataFrame, train: str = "train", seconds: float = 0.005, one_in: int = 10, least: dict[str, int] | None = None, least_other: int = 120) -> DataFrame:
+    """(id_a, id_b, reason) of all pairs of records, exactly one of them in the split ``train``.
+
+    ``df``: id bigint, split, lang, previous, continuation, audio_path string, timestamp double.
+    reason is 'moment' (paths name the same recording by session and channel, and the
+    timestamps differ by less than ``seconds``) or 'text' (whole transcripts in compared
+    form, each of at least ``least[lang]``, else ``least_other``, characters, whose edit
+    distance is at most a ``one_in``-th of the longer one's length); a pair may have both.
+    id_a < id_b. A record of a null split counts as not delivered as train; null ids,
+    paths, timestamps, and texts that are null or too short match nothing. Repeated rows
+    count once.
+    """
+    least = {"zh": 40, "yue": 40} if least is None else least
+    df = df.where("id is not null").withColumn("train", F.coalesce(F.col("split") == train, F.lit(False)))
+    moment = _moments(df, seconds).select("id", "other", F.lit("moment").alias("reason"))
+    pairs, has = _texts(df, one_in, least, least_other)
     left = has.where("not train").select("id", F.col("tid").alias("left_id"))
     right = has.where("train").select(F.col("id").alias("other"), F.col("tid").alias("right_id"))
     text = pairs.join(left, "left_id").join(right, "right_id").select("id", "other", F.lit("text").alias("reason"))
@@ -277,23 +284,32 @@ def overlaps(df: DataFrame, train: str = "train", seconds: float = 0.005, one_in
     return both.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b"), "reason").distinct()
 
 
-def report(pairs: DataFrame, records: DataFrame, id_col: str, train: str = "train") -> DataFrame:
-    """(split, source, train_source, reason, pairs, records): counts of the overlapping pairs per
-    split and source of the record outside training, and source and reason; ``records`` is the
-    number of different records outside training among them. ``records`` (the table) has
-    id_col, split and source, one row per record; null splits and sources are counted as null.
+def report(df: DataFrame, train: str = "train", seconds: float = 0.005, one_in: int = 10, least: dict[str, int] | None = None, least_other: int = 120) -> DataFrame:
+    """(split, source, train_source, reason, pairs, records): how many pairs :func:`overlaps` has per
+    split and source of the record outside training, source in training, and reason; ``records``
+    is the number of different records outside training among them.
+
+    ``df`` is that of :func:`overlaps` with source; null splits and sources are counted as null.
+    A record of several splits or sources counts in each. Pairs of texts are counted by how
+    many records hold each text, so copies are not spread out into pairs.
     """
-    r = records.select(F.col(id_col).alias("_id"), "split", "source")
-    a = r.select(F.col("_id").alias("id_a"), F.struct("split", "source").alias("a"))
-    b = r.select(F.col("_id").alias("id_b"), F.struct("split", "source").alias("b"))
-    first = ~F.coalesce(F.col("a.split") == train, F.lit(False))
-    named = pairs.join(a, "id_a").join(b, "id_b").select(
-        F.when(first, F.col("a.split")).otherwise(F.col("b.split")).alias("split"),
-        F.when(first, F.col("a.source")).otherwise(F.col("b.source")).alias("source"),
-        F.when(first, F.col("b.source")).otherwise(F.col("a.source")).alias("train_source"),
-        "reason",
-        F.when(first, F.col("id_a")).otherwise(F.col("id_b")).alias("_held"),
-    )
+    least = {"zh": 40, "yue": 40} if least is None else least
+    df = df.where("id is not null").withColumn("train", F.coalesce(F.col("split") == train, F.lit(False)))
+    where = df.select("id", "train", "split", "source").distinct()
+    pairs, has = _texts(df, one_in, least, least_other)
+    group = ["split", "source", "train_source"]
+    # who holds a text: outside training by split and source, in training by source
+    held = has.join(where, ["id", "train"])
+    outside = held.where("not train").groupBy(F.col("tid").alias("left_id"), "split", "source").agg(F.count(F.lit(1)).alias("n"))
+    inside = held.where("train").groupBy(F.col("tid").alias("right_id"), F.col("source").alias("train_source")).agg(F.count(F.lit(1)).alias("m"))
+    met = pairs.join(inside, "right_id").groupBy("left_id", "train_source").agg(F.sum("m").alias("m")).join(outside, "left_id")
+    text = met.groupBy(*group).agg(F.sum(F.col("n") * F.col("m")).alias("pairs"), F.sum("n").alias("records"))
+    # a record delivered on both sides is no partner of its own
+    own = held.where("not train").select("id", "tid", "split", "source").join(held.where("train").select("id", "tid", F.col("source").alias("train_source")), ["id", "tid"])
+    text = text.unionByName(own.groupBy(*group).agg((-F.count(F.lit(1))).alias("pairs"), F.lit(0).cast("bigint").alias("records"))).groupBy(*group).agg(F.sum("pairs").alias("pairs"), F.sum("records").alias("records"))
+    # moments hold few records each
+    moment = _moments(df, seconds).join(where.where("not train").select("id", "split", "source"), "id").join(where.where("train").select(F.col("id").alias("other"), F.col("source").alias("train_source")), "other")
     # two steps instead of a distinct count, so that a hot group is pre-aggregated
-    g = ["split", "source", "train_source", "reason"]
-    return named.groupBy(*g, "_held").count().groupBy(*g).agg(F.sum("count").alias("pairs"), F.count(F.lit(1)).alias("records"))
+    moment = moment.groupBy(*group, "id").count().groupBy(*group).agg(F.sum("count").alias("pairs"), F.count(F.lit(1)).alias("records"))
+    out = text.withColumn("reason", F.lit("text")).unionByName(moment.withColumn("reason", F.lit("moment")))
+    return out.where("pairs > 0").select(*group, "reason", "pairs", "records")

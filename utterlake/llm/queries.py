@@ -30,18 +30,18 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(texts, pii.find_spans(texts)).select("table_name", "row_id", "field", "redacted")
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _compared(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "data_synthesize")
-    return overlap.overlaps(s.select(F.col("sample_id").alias("id"), "split", "lang", F.col("previous_transcript").alias("previous"), F.col("continuation_transcript").alias("continuation"), "audio_path", "timestamp"))
+    return s.select(F.col("sample_id").alias("id"), "split", "source", "lang", F.col("previous_transcript").alias("previous"), F.col("continuation_transcript").alias("continuation"), "audio_path", "timestamp")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _overlaps(spark, d).select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b")).distinct()
+    return overlap.overlaps(_compared(spark, d)).select(F.col("id_a").alias("sample_id_a"), F.col("id_b").alias("sample_id_b")).distinct()
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Pairs and evaluation samples touched, per split and source of the evaluation sample."""
-    return overlap.report(_overlaps(spark, d), delivered_once(table(spark, d, "data_synthesize"), "sample_id", "split", "source"), "sample_id")
+    return overlap.report(_compared(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
