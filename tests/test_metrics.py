@@ -65,3 +65,22 @@ def test_token_rate_of_very_many_tokens(spark):
     d = spark.createDataFrame([(k,) for k in (1, 0xD6FF, 0xD700, 0xF5FE, 0xF5FF, 0x20000)], "n int")
     got = [r[0] for r in d.select(text.alias("t")).collect()]
     assert all(len(t) == 2 and t[0] != t[1] and "\ufeff" not in t for t in got)
+
+
+def test_prefix_ends_of_many_pairs():
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abç好") for _ in range(r.randrange(0, 14)))
+    pairs = [(word(), word()) for _ in range(900)] + [("a" * 3000, "ab" * 1500), ("", "a"), ("a", "")]
+    for a, b in pairs[:300]:  # against all prefixes
+        d = [plain_edits(a, b[:k]) for k in range(len(b) + 1)]
+        assert M.prefix_end(a, b) == (min(range(len(d)), key=lambda k: (d[k], abs(k - len(a)), k)) if a and b else 0)
+    assert M.prefix_ends([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [M.prefix_end(a, b) for a, b in pairs]
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, old[j] + 1, old[j - 1] + (x != y)))
+    return row[-1]

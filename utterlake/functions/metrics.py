@@ -31,10 +31,10 @@ def rate(ref: Column, hyp: Column) -> Column:
 
 def _as_text(tokens: Column, known: Column) -> Column:
     """Each token as the character numbered by its place among the ``known`` ones."""
-    place = lambda t: F.array_position(known, t) + 0xFF
+    places = F.transform(tokens, lambda t: F.array_position(known, t) + 0xFF)
     # past the surrogates, and past U+FEFF, which a decoder drops where it comes first
-    point = lambda t: place(t) + F.when(place(t) >= 0xFEFF - 0x800, 0x801).when(place(t) >= 0xD800, 0x800).otherwise(0)
-    return F.decode(F.unhex(F.array_join(F.transform(tokens, lambda t: F.lpad(F.hex(point(t)), 8, "0")), "")), "UTF-32")
+    points = F.transform(places, lambda p: p + F.when(p >= 0xFEFF - 0x800, 0x801).when(p >= 0xD800, 0x800).otherwise(0))
+    return F.decode(F.unhex(F.array_join(F.transform(points, lambda p: F.lpad(F.hex(p), 8, "0")), "")), "UTF-32")
 
 
 def with_token_rate(df: DataFrame, ref: str, hyp: str, out: str) -> DataFrame:
@@ -60,6 +60,8 @@ def with_mer(df: DataFrame, reference: str, hypothesis: str, hint: str, out: str
 def prefix_end(previous: str, reference: str) -> int:
     """The length of the reference's prefix nearest to ``previous`` by edit distance; of equally
     near ones that whose length is nearest, then the shorter; 0 if either is empty."""
+    # the empty prefix is n edits away, and one of more than 2 * n characters is more
+    reference = reference[: 2 * len(previous)]
     n, m = len(previous), len(reference)
     if not n or not m:
         return 0
@@ -75,10 +77,53 @@ def prefix_end(previous: str, reference: str) -> int:
     return int(best[np.argmin(np.abs(best - n))])
 
 
+#: Pairs aligned together, and cells of a row of theirs.
+_TOGETHER, _CELLS = 64, 1 << 20
+
+
+def prefix_ends(previous: list[str], reference: list[str]) -> np.ndarray:
+    """prefix_end of each pair: those of like length go through the recurrence together."""
+    out = np.zeros(len(previous), np.int32)
+    reference = [r[: 2 * len(p)] for p, r in zip(previous, reference)]
+    todo = [i for i in range(len(previous)) if previous[i] and reference[i]]
+    todo.sort(key=lambda i: (len(previous[i]), len(reference[i])))
+    while todo:
+        most = max(1, min(_TOGETHER, _CELLS // (1 + max(len(reference[i]) for i in todo[:_TOGETHER]))))
+        part, todo = todo[:most], todo[most:]
+        n = np.array([len(previous[i]) for i in part])
+        m = np.array([len(reference[i]) for i in part])
+
+        def padded(texts: list[str], width: int, fill: int) -> np.ndarray:
+            codes = np.full((len(texts), width), fill, np.int32)
+            for k, t in enumerate(texts):
+                codes[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
+            return codes
+
+        prev, ref = padded([previous[i] for i in part], n.max(), -1), padded([reference[i] for i in part], m.max(), -2)
+        place = np.arange(m.max() + 1, dtype=np.int32)
+        row = np.broadcast_to(place, (len(part), len(place))).copy()
+        for j in range(n.max()):
+            first = np.searchsorted(n, j, side="right")  # shorter ones are done
+            old = row[first:]
+            new = np.empty_like(old)
+            new[:, 0] = j + 1
+            np.minimum(old[:, 1:] + 1, old[:, :-1] + (ref[first:] != prev[first:, j : j + 1]), out=new[:, 1:])
+            new -= place
+            np.minimum.accumulate(new, axis=1, out=new)
+            new += place
+            row[first:] = new
+        row[place > m[:, None]] = np.iinfo(np.int32).max
+        # of the nearest those whose length is nearest, then the shorter
+        best = row == row.min(1, keepdims=True)
+        away = np.where(best, np.abs(place - n[:, None].astype(np.int32)), np.iinfo(np.int32).max)
+        out[part] = away.argmin(1)
+    return out
+
+
 @pandas_udf(IntegerType())
 def align_prefix(previous: pd.Series, reference: pd.Series) -> pd.Series:
     """prefix_end for columns; quadratic in the lengths, where nested expressions are cubic."""
-    return pd.Series([prefix_end(a or "", b or "") for a, b in zip(previous, reference)], dtype="int32")
+    return pd.Series(prefix_ends(previous.fillna("").tolist(), reference.fillna("").tolist()), dtype="int32")
 
 
 def given(c: str) -> Column:
