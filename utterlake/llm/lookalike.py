@@ -16,6 +16,8 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from utterlake.session import store
+
 # Letters that look like a Latin letter, by script.
 CYRILLIC_LOOKALIKES = dict(zip("аеорсухѕіјԁԛԝһӏАВЕКМНОРСТУХЅІЈԌԚԜ", "aeopcyxsijdqwhlABEKMHOPCTYXSIJGQW"))
 GREEK_LOOKALIKES = dict(zip("αγικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ayikvoptuxABEZHIKMNOPTYX"))
@@ -179,6 +181,8 @@ def canonicalize(df: DataFrame, text_col: str, lang_col: str | None = None, out_
     df = df.withColumn("_home", home).withColumn("_odd", F.coalesce(_doubtful(text, F.col("_home")), F.lit(False)))
     done = df.where(~F.col("_odd")).withColumn(out_col, text).drop("_home", "_odd")
     odd = df.where("_odd").withColumn("_h1", F.xxhash64(text, F.col("_home"))).withColumn("_h2", F.xxhash64(F.lit(7), text, F.col("_home")))
+    # the texts that can change are told once, and used twice
+    odd, _ = store(odd, "changeable")
     formed = canonical_texts(odd.select(text.alias("text"), F.col("_home").alias("home"), F.col("_h1").alias("h1"), F.col("_h2").alias("h2")))
     formed = formed.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.coalesce("canonical", F.lit("")).alias(out_col))
     odd = odd.join(formed, ["_h1", "_h2"], "left").withColumn(out_col, F.coalesce(out_col, F.lit("")))
