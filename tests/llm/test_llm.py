@@ -483,6 +483,23 @@ def test_leaks_with_slips_near_the_edges_or_short_words(spark):
 
 
 # ---- 9 ----
+@pytest.mark.parametrize("short,long,slips", [(1, 3, 2), (2, 3, 2), (3, 5, 2), (4, 7, 2), (4, 7, 0)])
+def test_passages_of_short_words_are_found(short, long, slips):
+    r = random.Random(short * 100 + slips)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstuvw") for _ in range(r.randint(short, long)))
+    items, docs = [], []
+    for _ in range(80):
+        item = [word() for _ in range(70)]
+        at = r.randrange(0, 46)
+        passage = item[at : at + 24]
+        for k in r.sample(range(24), slips):  # also in its first and last words
+            passage[k] = word() + "q"
+        items.append(item)
+        docs.append([word() for _ in range(80)] + passage + [word() for _ in range(60)])
+    d, i = leakage._search(leakage.Items(list(range(80)), items, 20, 30, 0.1), docs, 0.1)
+    assert set(zip(d.tolist(), i.tolist())) == {(k, k) for k in range(80)}
+
+
 def topical(seed, n, subject_of):
     """(documents, {(id, subject)}): twelve sentences of everyday words, half of them with a word
     of the document's subject."""
