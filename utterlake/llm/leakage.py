@@ -9,6 +9,7 @@ or characters of Chinese), all candidates of a batch together.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,8 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from utterlake.llm.common import word_hashes
+
 #: Most characters of items sent to the tasks at once; more items are searched in blocks.
 BLOCK_CHARS = 4_000_000
 #: Characters of documents handled together.
@@ -31,9 +34,11 @@ SLACK = 8
 
 _MARK = regex.compile(r"[\[(<]\s*\d{1,2}(?::\d{2}){1,2}(?:[.,]\d+)?\s*[\])>]|^\s*\d{1,2}(?::\d{2}){1,2}(?:[.,]\d+)?\s", regex.M)
 _SPEAKER = regex.compile(r"^\s*(?:[A-Z]|spk\s?\d+|speaker\s?\w{1,3}|sprecher\s?\w{1,3}|说话人\s?\w{1,3}|發言人\s?\w{1,3})\s*[:：]", regex.M | regex.I)
-_APOSTROPHE = regex.compile(r"(?<=\w)['’](?=\w)")
-_UNIT = regex.compile(r"[㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f]|[^\W_㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f]+")
+_APOSTROPHE = re.compile(r"(?<=\w)['’](?=\w)")
+_UNIT = re.compile(r"[㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f]|[^\W_㐀-䶿一-鿿豈-﫿\U00020000-\U0003134f]+")
 _INVISIBLE = regex.compile(r"[\p{Cf}︀-️]")
+# Texts of these characters need no normal form.
+_PLAIN = re.compile("[\x09\x0a\x0d\x20-\x7e一-鿿。、，！？；：À-ÖØ-öø-ÿ¿¡]*")
 
 
 def units(text: str | None) -> list[str]:
@@ -41,11 +46,12 @@ def units(text: str | None) -> list[str]:
     characters, and marks of time and speaker."""
     if not text:
         return []
-    if not text.isascii():
+    if not text.isascii() and not _PLAIN.fullmatch(text):
         text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
     if ":" in text or "：" in text:
-        text = _SPEAKER.sub(" ", _MARK.sub(" ", text))
-    return _UNIT.findall(_APOSTROPHE.sub("", text.lower()))
+        text = _SPEAKER.sub(" ", _MARK.sub(" ", text.replace("：", ":")))
+    text = text.lower()
+    return _UNIT.findall(_APOSTROPHE.sub("", text) if "'" in text or "’" in text else text)
 
 
 def _is_han(points: np.ndarray) -> np.ndarray:
@@ -73,7 +79,6 @@ class Flat:
     unit_start: np.ndarray  # first code point of each unit
     first_unit: np.ndarray  # first unit of each text, and the end
     first_point: np.ndarray  # first code point of each text, and the end
-    words: list[str]
 
     @classmethod
     def of(cls, texts: list[list[str]]) -> "Flat":
@@ -83,7 +88,11 @@ class Flat:
         first_unit = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
         ends = np.concatenate(([0], np.cumsum(lengths)))
         first_point = ends[first_unit]
-        return cls(points, np.repeat(np.arange(len(texts)), np.diff(first_point)), np.repeat(np.arange(len(words)), lengths), ends[:-1], first_unit, first_point, words)
+        return cls(points, np.repeat(np.arange(len(texts)), np.diff(first_point)), np.repeat(np.arange(len(words)), lengths), ends[:-1], first_unit, first_point)
+
+    def numbers(self) -> np.ndarray:
+        """A 62-bit number of each unit."""
+        return word_hashes(self.points, self.unit_start, np.diff(np.append(self.unit_start, len(self.points))))
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
         """(place, hash) of every q-gram within one text."""
@@ -115,8 +124,7 @@ class Items:
     def __init__(self, ids: list[int], texts: list[list[str]], least_words: int, least_chars: int, slip: float) -> None:
         self.ids, self.flat = np.array(ids, np.int64), Flat.of(texts)
         f = self.flat
-        self.number = {w: i for i, w in enumerate(dict.fromkeys(f.words))}
-        self.unit = np.fromiter((self.number[w] for w in f.words), np.int64, len(f.words))
+        self.known, self.unit = np.unique(f.numbers(), return_inverse=True)
         place, h = f.grams()
         grams = np.sort(place)
         order = np.argsort(h, kind="stable")
@@ -306,11 +314,10 @@ def _search(items: Items, texts: list[list[str]], slip: float, miss: int = 2) ->
     d, it, mean, strong = pair[keep] // len(items.ids), pair[keep] % len(items.ids), (low + high) // 2, both[keep]
     # with what slips may move the path, in steps of 8, so that bands of like width go together
     half = ((high - low + 1) // 2 + SLACK + 7) // 8 * 8
-    # unit numbers of the documents that have candidates
-    own = np.full(len(doc.words), -1, np.int64)
-    for x in np.unique(d):
-        a, b = doc.first_unit[x], doc.first_unit[x + 1]
-        own[a:b] = [items.number.get(w, -1) for w in doc.words[a:b]]
+    # units of the documents as those of the items, -1 for others
+    h = doc.numbers()
+    at = np.minimum(np.searchsorted(items.known, h), len(items.known) - 1)
+    own = np.where(items.known[at] == h, at, -1)
     # the strongest band of each pair first; the others only where it holds no passage
     order = np.lexsort((-strong, it, d))
     new = np.append(True, (d[order][1:] != d[order][:-1]) | (it[order][1:] != it[order][:-1]))
